@@ -82,7 +82,10 @@ def posteriors(documents: DataFrame, classes: list[str]) -> DataFrame:
     for r in words.collect():  # at most classes x FEATURES rows
         table[classes.index(r["name"]), r["w"]] += r["count"]
     weight = np.log(table / table.sum(1, keepdims=True))
-    prior = np.log(np.array([n.get(c, 0) + 1.0 for c in classes]) / (sum(n.values()) + k))
+    # a class without labelled documents gets no posterior, unless none has any
+    seen = np.array([float(n.get(c, 0)) for c in classes])
+    with np.errstate(divide="ignore"):
+        prior = np.log(seen / seen.sum()) if seen.sum() else np.zeros(k)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
