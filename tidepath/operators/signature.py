@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepath.sources.tables import spread
+
 # --- words -------------------------------------------------------------------------------------------------
 
 
@@ -270,7 +272,7 @@ def window_features(w: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...]
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in w.schema.fields if f.name in keep)
     order = [f.name for f in w.schema.fields if f.name in keep]
-    return w.select(*order, *fields).mapInPandas(lambda it: (x[[*order, "feature"]] for x in run(it)), f"{kinds}, feature array<double>")
+    return spread(w.select(*order, *fields)).mapInPandas(lambda it: (x[[*order, "feature"]] for x in run(it)), f"{kinds}, feature array<double>")
 
 
 # --- inside the JVM, depths 1 to 3 ----------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def local_master(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-
-
-def cores(spark: SparkSession) -> int:
-    return max(int(spark.sparkContext.defaultParallelism), os.cpu_count() if local_master(spark) else 1)
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, for costly work row by row: a few small files
+    would keep the rest idle. Inputs of many files or splits are left where they are."""
+    n = int(df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(2 * n)
