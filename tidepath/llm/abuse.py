@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepath.llm.mail import visible
+from tidepath.sources.tables import spread
 
 # Word lists of our own, by kind.
 PERSON = """idiot idiots imbecile imbeciles moron morons cretin cretins halfwit halfwits bastard bastards dickhead dickheads
@@ -52,6 +53,7 @@ cretan cretans cretinous moors motion mormon moro lying flying plying dying tyin
 filters filtered filter parade paradise moron's idiom idioms jerk clerk turn turns tits bits hits sits its tips ticks coward towards toward count counts hunt cant can't couldn't blouse house mouse hose horse horses homely where whole wholly shore whose
 lighter fighter lists list trots total rotor slot slut's shut cut scam slum plum species espace bales shame shake bake pedal saline seal seals females disease deceased cages pages wages stages vermillion""".split()
 
+MILD = {"fat", "lying", "dumb", "sale", "goddamn", "useless", "miserable"}  # no insult alone
 SELF = {"i'm", "i", "am", "ich", "myself", "je", "suis", "soy", "me"}
 AIMED = {"you", "your", "you're", "youre", "yours", "u", "dein", "deinem", "du", "dich", "dir", "tu", "ta", "ton", "te", "tú", "toi", "espèce", "pedazo"}
 ABOUT = {"policy", "training", "filter", "harassment", "discussed", "word", "words", "wording", "survey", "clinic", "course", "definition", "dictionary", "complaints", "insulting", "novel", "persecution", "bug", "loop", "printer", "machine", "configure", "form", "build", "column"}
@@ -231,7 +233,8 @@ def _aimed(i: int, role: str, toks: list, raw: list, hits: list, lexicon: Lexico
     if role == "person" and (re.search(r"such an? ?\w*$|what kind of$|bunch of$|is an? ?[\w-]*$|what an?$|only an? ?\w*$", cue) and not re.search(r"\bit is an?", cue)):
         return 1.0
     if AIMED & set(window):
-        return 1.0 if role == "person" or double else 0.7
+        plain = role == "slur" and toks[i] not in MILD and {"you", "you're", "youre"} & set(ahead[-2:])
+        return 1.0 if role == "person" or double or plain else 0.7
     if double:
         return 1.0
     return 0.5
@@ -252,7 +255,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     the message's hits, 0 where there is none; null and empty texts score 0. A case scores 1 or more. Other columns
     are ignored; repeated rows stay repeated; an empty table gives no rows."""
     x = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return x.mapInPandas(score_batches, "doc_id long, source string, score double, kind string")
+    return spread(x).mapInPandas(score_batches, "doc_id long, source string, score double, kind string")
 
 
 def plain_source(c):

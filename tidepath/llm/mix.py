@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidepath.llm import TOKENIZERS
 from tidepath.llm.abuse import plain_source
 from tidepath.llm.tokens import ranks
-from tidepath.sources.tables import shared_dir
+from tidepath.sources.tables import shared_dir, spread
 
 FEATURES = 4096
 SAMPLE = 20_000  # labelled documents per class the classifier is fitted on at most
@@ -59,7 +59,7 @@ def with_tokens(documents: DataFrame, path: str = TOKENIZERS, name: str = "byte_
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(kept[name].encode_ordinary(t)) if t else 0 for t in b["text"]]})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(count, "doc_id long, source string, tokens long")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def hashed_words(text: Column) -> Column:
@@ -165,6 +165,8 @@ def _projected_gradient(groups: DataFrame, goal: np.ndarray, steps: int) -> Data
         value = sum((F.get("q", F.lit(i)) * float(prices[i]) for i in range(k)), F.lit(0.0))
         rate = F.least(F.greatest(value, F.lit(0.0)), F.col("cap"))
         got = groups.agg(*[F.sum(F.col("tokens") * rate * F.get("q", F.lit(i))) for i in range(k)]).first()
-        sums = np.array([g or 0.0 for g in got])
+        last, sums = sums, np.array([g or 0.0 for g in got])
+        if np.abs((sums - last) / scale).max(initial=0.0) < 1e-9:  # what is still short is at its cap
+            break
     value = sum((F.get("q", F.lit(i)) * float(prices[i]) for i in range(k)), F.lit(0.0))
     return groups.select("q", F.least(F.greatest(value, F.lit(0.0)), F.col("cap")).alias("rate"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepath.llm import TOKENIZERS
+from tidepath.sources.tables import spread
 
 # fixed values of the public pattern, with Unicode white space spelled for Java
 WORDS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -95,8 +96,9 @@ def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") ->
 
 def encode_documents(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(id, ids), one row per row of documents, repeated ids included. Other columns are ignored; an empty
-    table gives no rows. Rows are encoded where they are read: nothing is shuffled."""
-    return documents.select(id_column, encode(F.col(text), path, name).alias("ids"))
+    table gives no rows. Rows are encoded where they are read; only a table of fewer splits than cores is spread
+    over them first."""
+    return spread(documents.select(id_column, text)).select(id_column, encode(F.col(text), path, name).alias("ids"))
 
 
 def decode_ids(ids: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
