@@ -42,7 +42,7 @@ def daily(n=80, seed=0):
     return out
 
 
-SCHEMA = "date date, stable_id long, open double, high double, low double, close double, volume double, base string"
+SCHEMA = "date date, stable_id long, open double, high double, low double, close double, volume double, open_value string"
 
 
 def test_fill_daily(spark):

@@ -185,7 +185,10 @@ def fill_daily(daily: DataFrame, securities: DataFrame, bins: int = BINS) -> Dat
 
     Filled are opens that are NULL, NaN, infinite or placeholders and closes that are NULL or NaN; other wrong
     closes stay. A value nothing is known for (an empty source) stays NULL with the mark set. Rows with a null
-    key are kept and filled from their own high and low. Repeated rows stay repeated."""
+    key are kept and filled from their own high and low. Repeated rows stay repeated. Columns that have the names of
+    the added ones are replaced."""
+    added = ("open_value", "open_is_filled", "close_value", "close_is_filled")
+    daily = daily.drop(*added)
     ids = securities.where("stable_id is not null").groupBy("stable_id").agg(F.min("industry_code").alias("ind"))
     x = daily.select(*[F.col(c).alias(f"r_{c}") for c in daily.columns], *["stable_id", "date", "open", "high", "low", "close", "volume"])
     once = daily.where("stable_id is not null and date is not null").groupBy(F.col("stable_id").alias("sid"), F.col("date").alias("d")).agg(F.max(positive(F.col("close"))).alias("c"))
@@ -217,7 +220,8 @@ def fill_exposures(exposures: DataFrame, securities: DataFrame, bins: int = BINS
     Filled are values that are NULL, NaN, infinite or placeholders (beyond the 5 and 95 % quantiles of all
     names by more than three times the distance between them). A source without any value is filled from its
     industry and date; with no usable value anywhere the value is NULL and the mark set. Null keys: kept, filled
-    from industry and date."""
+    from industry and date. Columns that have the names of the added ones are replaced."""
+    exposures = exposures.drop("log_mktcap_value", "log_mktcap_is_filled")
     v = finite(F.col("log_mktcap"))
     q = exposures.agg(F.percentile_approx(v, [0.05, 0.95], F.lit(10000)).alias("q")).first()["q"] or [0.0, 0.0]
     lo, hi = q[0] - 3 * (q[1] - q[0]) - 1, q[1] + 3 * (q[1] - q[0]) + 1

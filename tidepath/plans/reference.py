@@ -91,7 +91,7 @@ _IC = lambda s="scored", name="ic": f"{name} AS (SELECT date, corr(a, b) AS rank
 _E = _P + f", {_FAC(5)}, {_FWD}, {_SCORED()}, {_IC()}"
 _G = _E + f", edges AS (SELECT date, {', '.join(f'quantile_cont(factor, {g / GROUPS}) AS e{g}' for g in range(1, GROUPS))} FROM scored GROUP BY 1), grp AS (SELECT date, ({' + '.join(f'(factor >= e{g})::INT' for g in range(1, GROUPS))} + 1)::INT AS bucket, avg(ret) AS ret FROM scored JOIN edges USING (date) GROUP BY 1, 2), ls AS (SELECT date, max(ret) FILTER (bucket = {GROUPS}) AS top, max(ret) FILTER (bucket = 1) AS bottom, avg(ret) AS mean_group FROM grp GROUP BY 1)"
 _PERIODS = X.YEAR_DAYS / H
-_EXP = "expo AS (SELECT date, stable_id, max(CASE WHEN log_mktcap BETWEEN 5 AND 60 THEN log_mktcap END) AS log_mktcap FROM exposures WHERE date IS NOT NULL AND stable_id IS NOT NULL GROUP BY 1, 2), lab AS (SELECT date, stable_id, max(CASE WHEN isfinite(resid_fwd_20) THEN resid_fwd_20::DOUBLE END) AS label FROM labels WHERE date IS NOT NULL AND stable_id IS NOT NULL GROUP BY 1, 2)"
+_EXP = "expo AS (SELECT date, stable_id, max(CASE WHEN isfinite(log_mktcap) AND log_mktcap BETWEEN 5 AND 60 THEN log_mktcap END) AS log_mktcap FROM exposures WHERE date IS NOT NULL AND stable_id IS NOT NULL GROUP BY 1, 2), lab AS (SELECT date, stable_id, max(CASE WHEN isfinite(resid_fwd_20) THEN resid_fwd_20::DOUBLE END) AS label FROM labels WHERE date IS NOT NULL AND stable_id IS NOT NULL GROUP BY 1, 2)"
 _BAR = lambda t: f"CASE WHEN ({t} >= 34200000000 AND {t} < 41400000000) OR ({t} >= 46800000000 AND {t} < 54000000000) THEN {t} // 300000000 * 300000000 END"
 
 
