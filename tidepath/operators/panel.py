@@ -195,9 +195,9 @@ def bars(intraday: DataFrame, bar: Column) -> DataFrame:
     return once.groupBy("date", "stable_id", "bar_us").agg(F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"), F.sum("volume").alias("volume"))
 
 
-def exposures_one_hot(rows: DataFrame, categories: DataFrame, prefix: str = "ind_") -> DataFrame:
+def exposures_one_hot(rows: DataFrame, categories: DataFrame, prefix: str = "ind_", levels: tuple[str, ...] | None = None) -> DataFrame:
     """rows(date, stable_id, cap) joined to categories(stable_id, code): log of positive caps and one 0/1 column for
-    each code but the first in sorted order. The number of codes bounds the columns."""
-    codes = [r[0] for r in categories.where("code is not null").select("code").distinct().orderBy("code").collect()]
+    each code but the first in sorted order. The codes are `levels`, or those found; their number bounds the columns."""
+    codes = sorted(levels) if levels else [r[0] for r in categories.where("code is not null").select("code").distinct().orderBy("code").collect()]
     x = rows.where("cap > 0").join(categories.where("code is not null"), "stable_id")
     return x.select("date", "stable_id", F.log("cap").alias("log_cap"), *[F.when(F.col("code") == c, 1.0).otherwise(0.0).alias(f"{prefix}{c}") for c in codes[1:]])

@@ -204,7 +204,7 @@ _CODES = ("b15", "c20", "d25", "e30", "f45", "g50", "h60")
 def one_hot_exposures(spark, d):
     caps = _exposures(spark, d).select("date", "stable_id", F.exp("log_mktcap").alias("cap"))
     codes = read(spark, d, "securities", ("stable_id", "industry_code")).groupBy("stable_id").agg(F.min("industry_code").alias("code"))
-    return out(P.exposures_one_hot(caps, codes))
+    return out(P.exposures_one_hot(caps, codes, levels=("a10", *_CODES)))
 
 
 @query("WITH c AS (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem), s AS (SELECT date, year(date) AS y, month(date) AS m FROM c) SELECT strftime(date, '%Y-%m-%d') AS date, CASE WHEN y = 2000 THEN 'predict' WHEN y = 1999 THEN 'val' ELSE 'train' END AS split FROM s WHERE y = 2000 OR (y BETWEEN 1996 AND 1999 AND NOT (m = 12 AND y IN (1998, 1999)))")
