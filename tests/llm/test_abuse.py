@@ -55,6 +55,20 @@ def test_no_cases(text):
     assert not case(text)
 
 
+def test_every_entry_fires():
+    for term in LEX.terms:
+        assert term in LEX.near(term)
+        assert abuse.score(f"you {term}", LEX, {})[0] >= 0.7, term
+    for kind, p in LEX.phrases:
+        text = " ".join("those old people" if w == "group" else w for w in p)
+        assert abuse.score(text, LEX, {})[0] >= (1 if len(p) > 1 else 0.6), text
+
+
+@pytest.mark.parametrize("text", ["you jerk", "you coward", "I'll cut that grin off", "shut your mouth", "Shut the fuck up"])
+def test_entries_that_are_plain_words(text):
+    assert case(text)
+
+
 def test_visible_parts_only():
     mail = 'From: a <a@b.example>\r\nSubject: =?utf-8?B?WW91IGlkaW90?=\r\nContent-Type: multipart/mixed; boundary="xx"\r\n\r\n--xx\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>Sch=C3=B6n<b>e</b> Gr=\r\n=C3=BC&szlig;e</p>\r\n--xx\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nYWJj\r\n--xx--\r\n'
     assert visible(mail).split() == ["You", "idiot", "Schöne", "Grüße"]

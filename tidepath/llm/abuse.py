@@ -136,12 +136,11 @@ class Lexicon:
             forms |= {f.translate(LEET) for f in list(forms)} | {f.replace("1", "l").translate(LEET) for f in list(forms)}
         found: set[str] = set()
         for f in forms:
-            if f in self.plain:
-                continue
-            exact = f in self.exact or f in self.terms
-            if exact:
+            if f in self.exact or f in self.terms:
                 found.add(f)
                 continue
+            if f in self.plain:  # bars inexact matches only
+                continue
             most = 0 if len(f) < 6 or stars else 1 if len(f) < 10 else 2
             for w, d in self.trie.walk(f, most):
                 # edits are for long words: short ones have too many neighbours
