@@ -69,6 +69,16 @@ def test_entries_that_are_plain_words(text):
     assert case(text)
 
 
+@pytest.mark.parametrize("text", ["do this again, you moron", "Read this, you stupid idiot.", "It's your fault, you imbecile", "It's an idiot like you who broke it"])
+def test_this_and_its_do_not_hide_an_insult(text):
+    assert case(text)
+
+
+@pytest.mark.parametrize("text", ["It's a bitch to configure, you will see", "This is such a bitch to set up, your call", "this bitch of a build runs now"])
+def test_this_and_its_said_of_a_thing(text):
+    assert not case(text)
+
+
 def test_visible_parts_only():
     mail = 'From: a <a@b.example>\r\nSubject: =?utf-8?B?WW91IGlkaW90?=\r\nContent-Type: multipart/mixed; boundary="xx"\r\n\r\n--xx\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>Sch=C3=B6n<b>e</b> Gr=\r\n=C3=BC&szlig;e</p>\r\n--xx\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nYWJj\r\n--xx--\r\n'
     assert visible(mail).split() == ["You", "idiot", "Schöne", "Grüße"]

@@ -59,6 +59,7 @@ AIMED = {"you", "your", "you're", "youre", "yours", "u", "dein", "deinem", "du",
 ABOUT = {"policy", "training", "filter", "harassment", "discussed", "word", "words", "wording", "survey", "clinic", "course", "definition", "dictionary", "complaints", "insulting", "novel", "persecution", "bug", "loop", "printer", "machine", "configure", "form", "build", "column"}
 LOOK = str.maketrans("аеорсухіјѕԁԛԝһոցьѵɡıοαεικνρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТУХІЈЅ", "aeopcyxijsdqwhngbvgioaeikvptuABEZHIKMNOPTYXABEKMHOPCTYXIJS")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
+THING = re.compile(r"(?:\bit's|\bit is|\bthis is|\bthis thing is|\bthat's) (?:(?:such|just|still|really|so|a|an|the|one) )*(?:[\w'-]+ )?$")
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿᠎‪-‮︀-️]")
 TOKEN = re.compile(r"[^\W_]+(?:['’*$@!]+[^\W_]+)*[*$@]*|[*$@][\w*$@!'’]*\w[*$@]*")
 SPACED = re.compile(r"(?<![\w'’])(?:[^\W\d_]|[*$@013457])(?:([ .-])(?:[^\W\d_]|['’*$@013457]))(?:\1(?:[^\W\d_]|['’*$@013457]))+(?![\w'’])")
@@ -225,7 +226,9 @@ def _aimed(i: int, role: str, toks: list, raw: list, hits: list, lexicon: Lexico
         return 0.2
     if ABOUT & set(toks[max(0, i - 4) : i + 6]) and not AIMED & set(window):
         return 0.3
-    if "it's" in ahead or "this" in ahead:
+    if THING.search(" ".join(ahead) + " ") and not re.match(r"(?:like|of) you\b|(?:and|,)? ?you're\b", " ".join(toks[i + 1 : i + 4])):
+        return 0.3  # said of a thing, whoever else is addressed nearby
+    if ("it's" in ahead or "this" in ahead) and not AIMED & set(window):
         return 0.3
     double = sum(r == "person" for r in roles) + sum(r == "slur" for r in roles) >= 2 and "person" in roles
     cue = " ".join(ahead)
