@@ -79,6 +79,32 @@ def test_this_and_its_said_of_a_thing(text):
     assert not case(text)
 
 
+@pytest.mark.parametrize("text", [
+    "You idoit.", "you morron", "you biitch", "you whoore", "You jdiot", "you vmbecile", "what a losre you are", "you scumm", "you st*ppid moron", "you *idiot*", "you cretin" + "n" * 60, "wacth your bakc, wacth your back", "put a bulet in him",
+])
+def test_misspelled(text):
+    assert case(text)
+
+
+@pytest.mark.parametrize("text", ["What is that, you said", "your fifth bench", "you use a lower price than your banker", "the crown you gave", "are you discussing it", "my disk, your desk", "I will fill you in", "you are right, switch it", "what a slot you picked", "we third you"])
+def test_near_words_are_no_misspelling(text):
+    assert not case(text)
+
+
+def test_prefilter_loses_no_word():
+    rng = random.Random(1)
+    words = [w for w in sorted(LEX.terms) if len(w) > 3]
+    for _ in range(300):
+        w = list(rng.choice(words))
+        most = 2 if len(w) > 8 else 1
+        for _ in range(most):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [rng.choice("aeirst")], [w[k], rng.choice("aeo")], [w[k], w[k]]])
+        w = "".join(w)
+        near = {x for x, _ in LEX.trie.walk(w, most, head=False)}
+        assert not near or not LEX.reach[most].isdisjoint(abuse._cuts(w, most))
+
+
 def test_visible_parts_only():
     mail = 'From: a <a@b.example>\r\nSubject: =?utf-8?B?WW91IGlkaW90?=\r\nContent-Type: multipart/mixed; boundary="xx"\r\n\r\n--xx\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>Sch=C3=B6n<b>e</b> Gr=\r\n=C3=BC&szlig;e</p>\r\n--xx\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nYWJj\r\n--xx--\r\n'
     assert visible(mail).split() == ["You", "idiot", "Schöne", "Grüße"]

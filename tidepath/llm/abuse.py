@@ -51,7 +51,14 @@ HAN = "你去死 去死吧 去死 混蛋 滚出去 滚开 害虫 废物 傻逼 
 PLAIN = """regards regard regarded reward rewards retain retained studio clowns cows pigs rats lose loses closer looser poser laser bastion batch pitch ditch witch hitch bits ditches switch stitch match bench beach porn0 born corn port part pork pore post picks pricing price priced prices brick trick bricks tricks
 cretan cretans cretinous moors motion mormon moro lying flying plying dying tying buying paying saying laying fat far fax fit cat hat rate rates late sale sales scale salt dump thumb numb crumb uglier used user useful uses unless usable reuse
 filters filtered filter parade paradise moron's idiom idioms jerk clerk turn turns tits bits hits sits its tips ticks coward towards toward count counts hunt cant can't couldn't blouse house mouse hose horse horses homely where whole wholly shore whose
-lighter fighter lists list trots total rotor slot slut's shut cut scam slum plum species espace bales shame shake bake pedal saline seal seals females disease deceased cages pages wages stages vermillion""".split()
+lighter fighter lists list trots total rotor slot slut's shut cut scam slum plum species espace bales shame shake bake pedal saline seal seals females disease deceased cages pages wages stages vermillion
+gly ling vying ying sucking dub dum umb ale bale dale gale hale kale male pale safe sage sake salem salv same sane save shale sle sole stale tale vale yale coron moon moran morton moroc morons' pick ric rick
+lover lovers lower lowers lasers blown crown flown grown brown birch itch mitch aunt cent cont count cult curt cust punt unt chore chose wore clut glut slit slug slur sur swat tat that wat what burd hurd kurd murd tud tur turb turf turk third tire
+berk jere perk howard fifth banker bankers tanker tankers walker walkers wander wanders limbo termin termine slope slopes korra mormons desk jury discussing athletic
+girl ender sunder liar lars dairy daisy dives gives lives waves wines wipes wires steal stead steak steam steel ballet wont horn horns bloom brood flood blond beasts earn lean learns month moth south youth houth awhile chile whale whine white niece pieces pierce apiece heading leading readings couch pouch torch tough
+county country property properly earth berth births doing ging cafes cage cakes cares cases caves cards sierra flour flood floors until whenever sting stint stick sink stink paces spaces spaced spare spate spice buffer buffers suffers chaise chaque classe chasse baked faked named word words worlds bought fought sought cream stream bikes hikes lakes lies lines linked liked lives dont donc
+caster passer casser known knots cents debts dens rents tents vents catch hatch latch patch kaiser shirt shoot short sort sport shorts singers caste haste paste taste tasty tested wasted noting threads threat threats highs gain shouldn cheek chick chuck heck regrets partie partir skirt chips clip eclipse flips lips slips dense tense senses sende sensed blend breed major memory chap cheat heap hours ours tours cours house rouse houses bleak bread breaks breaking freak mature
+tighter nicer worse insider dudes nodes notes cold could gould mould spart hapart aparte maker makers males mates takes wakes knee knees would wound longs along masked tasked press drive driver drives driven plague plaza bands sands lands hangs clams crying animate pace shout shot chase tread util moons disrupting improperly scram denis""".split()
 
 MILD = {"fat", "lying", "dumb", "sale", "goddamn", "useless", "miserable"}  # no insult alone
 SELF = {"i'm", "i", "am", "ich", "myself", "je", "suis", "soy", "me"}
@@ -77,14 +84,15 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def walk(self, word: str, most: int) -> list[tuple[str, int]]:
+    def walk(self, word: str, most: int, head: bool = True) -> list[tuple[str, int]]:
         """The words within `most` edits of `word`; `*` in it stands for any letter at no cost. The automaton's
-        state is a row of edit distances, dropped where all exceed `most`. The first letter must be right or masked."""
+        state is a row of edit distances, dropped where all exceed `most`. With `head` the first letter must be
+        right or masked."""
         out, n = [], len(word)
         row = list(range(n + 1))
-        if word[0] == "*":
+        if word[0] == "*" or not head:
             stack = [(self.root, row, "", None)]
-        elif word[0] in self.root:  # the first letter is never misspelled
+        elif word[0] in self.root:
             stack = [(self.root[word[0]], [1, *range(n)], word[0], row)]
         else:
             return []
@@ -108,6 +116,15 @@ class Trie:
         return out
 
 
+def _cuts(word: str, most: int) -> set[str]:
+    """The word with up to `most` letters left out. Words within `most` edits of each other share one of these."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 def _phrases(kind: str, texts: list[str]) -> list[tuple[str, tuple[str, ...]]]:
     return [(kind, tuple(t.split())) for t in texts if t]
 
@@ -118,21 +135,22 @@ class Lexicon:
         words = {w for _, p in self.phrases for w in p if w != "group"}
         self.terms = {**{w: "slur" for w in SLUR}, **{w: "person" for w in PERSON}}
         self.exact = {w for w in words if w not in self.terms}
+        self.alone = {p[0] for _, p in self.phrases if len(p) == 1}
         self.plain = set(PLAIN)
         self.trie = Trie(words | set(self.terms))
+        self.reach = [set(), *({c for w in words | set(self.terms) for c in _cuts(w, k)} for k in (1, 2))]
         self.first: dict[str, list] = {}
         for kind, p in self.phrases:
             self.first.setdefault(next(w for w in p if w != "group"), []).append((kind, p))
 
     def near(self, token: str) -> frozenset[str]:
         """Lexicon words a token may stand for."""
-        stars = token.count("*")
-        letters = len(token) - stars
-        if letters == 0 or len(token) > 40:
-            return frozenset()
         forms = {token}
         if re.search(r"(.)\1\1", token):
             forms |= {re.sub(r"(.)\1{2,}", r"\1", token), re.sub(r"(.)\1{2,}", r"\1\1", token)}
+        if token[0] == "*" == token[-1]:  # emphasis
+            forms |= {f.strip("*") for f in forms}
+        forms = {f for f in forms if f.strip("*") and len(f) <= 40}
         if re.search(r"[0-9$@!]", token) and re.search(r"[^\W\d_]", token):
             forms |= {f.translate(LEET) for f in list(forms)} | {f.replace("1", "l").translate(LEET) for f in list(forms)}
         found: set[str] = set()
@@ -142,10 +160,14 @@ class Lexicon:
                 continue
             if f in self.plain:  # bars inexact matches only
                 continue
-            most = 0 if len(f) < 6 or stars else 1 if len(f) < 10 else 2
-            for w, d in self.trie.walk(f, most):
-                # edits are for long words: short ones have too many neighbours
-                if d == 0 or len(w) >= 6 and (w in self.terms or len(w) >= 7):
+            stars = f.count("*")
+            letters = len(f) - stars
+            most = 0 if letters < (5 if stars else 4) else 1 if len(f) < 10 or stars else 2
+            if not stars and (not most or self.reach[most].isdisjoint(_cuts(f, most))):
+                continue  # no lexicon word is so near
+            for w, d in self.trie.walk(f, most, head=False):
+                # a word of a phrase is held by the others, one that is a phrase alone is not
+                if d == 0 or len(w) >= (4 if w in self.terms else 7 if w in self.alone else 5):
                     found.add(w)
         return frozenset(found)
 
@@ -189,7 +211,7 @@ def score(text: str, lexicon: Lexicon, memo: dict) -> tuple[float, str]:
                         best, kind = v, k
             role = lexicon.terms.get(w)
             if role:
-                v = _aimed(i, role, toks, raw, hits, lexicon, n)
+                v = _aimed(i, w, role, toks, raw, hits, lexicon, n)
                 if v > best:
                     best, kind = v, "insult"
     return best, kind
@@ -217,7 +239,7 @@ def _phrase(p: tuple[str, ...], hits: list, toks: list, i: int, n: int) -> bool:
     return True
 
 
-def _aimed(i: int, role: str, toks: list, raw: list, hits: list, lexicon: Lexicon, n: int) -> float:
+def _aimed(i: int, w: str, role: str, toks: list, raw: list, hits: list, lexicon: Lexicon, n: int) -> float:
     """A term's score from its window: who it is aimed at."""
     window = toks[max(0, i - 5) : i + 4]
     ahead = toks[max(0, i - 4) : i]
@@ -235,7 +257,7 @@ def _aimed(i: int, role: str, toks: list, raw: list, hits: list, lexicon: Lexico
     if role == "person" and (re.search(r"such an? ?\w*$|what kind of$|bunch of$|is an? ?[\w-]*$|what an?$|only an? ?\w*$", cue) and not re.search(r"\bit is an?", cue)):
         return 1.0
     if AIMED & set(window):
-        plain = role == "slur" and toks[i] not in MILD and {"you", "you're", "youre"} & set(ahead[-2:])
+        plain = role == "slur" and w not in MILD and {"you", "you're", "youre"} & set(ahead[-2:])
         return 1.0 if role == "person" or double or plain else 0.7
     if double:
         return 1.0
