@@ -91,6 +91,19 @@ def test_near_words_are_no_misspelling(text):
     assert not case(text)
 
 
+@pytest.mark.parametrize("text", [
+    "I'm going to break your fingers one by one", "I hope he gets hit by a truck", "You deserve to be whipped.", "I know where you park", "These foreigners are all criminals", "All immigrants should be deported", "go back to your own hole",
+    "I dream of undressing you", "take off your bra", "he stroked her tits", "You are a complete embarrassment", "nobody on this team would miss you, no one likes you",
+])
+def test_wordings_that_no_phrase_holds(text):
+    assert case(text)
+
+
+@pytest.mark.parametrize("text", ["We hope you didn't suffer from the outage.", "Will you take your dress shirt to the cleaner?", "We'll kill your job at noon", "I'll break your change into two commits", "the logs are garbage", "Those people are waiting for you", "I hope the run never wakes up", "refugees should be given a form"])
+def test_wordings_that_are_no_case(text):
+    assert not case(text)
+
+
 def test_prefilter_loses_no_word():
     rng = random.Random(1)
     words = [w for w in sorted(LEX.terms) if len(w) > 3]

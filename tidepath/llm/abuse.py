@@ -5,7 +5,8 @@ letters, masked and spaced-out letters). Each distinct word runs as a Levenshtei
 words of the lexicon, which gives the lexicon's words within a distance that grows with length. Hits become
 scores by their context window: a term counts in full when aimed at a person (second person, a name, "such a",
 "what kind of"), and not when aimed at oneself or a thing, or when the window speaks about such words. Phrases of
-the lexicon score as a whole, with at most one word between two of theirs.
+the lexicon score as a whole, with at most one word between two of theirs. Patterns of word sets (who means which
+harm to whom, which group is called what) find wordings that no phrase holds.
 
 Scale. Messages are scored where they are read, batch by batch; nothing is shuffled. The automata's answers are
 kept for the words of a batch only.
@@ -60,6 +61,38 @@ county country property properly earth berth births doing ging cafes cage cakes
 caster passer casser known knots cents debts dens rents tents vents catch hatch latch patch kaiser shirt shoot short sort sport shorts singers caste haste paste taste tasty tested wasted noting threads threat threats highs gain shouldn cheek chick chuck heck regrets partie partir skirt chips clip eclipse flips lips slips dense tense senses sende sensed blend breed major memory chap cheat heap hours ours tours cours house rouse houses bleak bread breaks breaking freak mature
 tighter nicer worse insider dudes nodes notes cold could gould mould spart hapart aparte maker makers males mates takes wakes knee knees would wound longs along masked tasked press drive driver drives driven plague plaza bands sands lands hangs clams crying animate pace shout shot chase tread util moons disrupting improperly scram denis""".split()
 
+# patterns over the words of a message (English), made of small sets: who, which harm, which part, which predicate
+_MEAN = r"(?:i'll|i will|i'm going to|i am going to|i'm gonna|i am gonna|gonna|we'll|we will|we're going to|i want to|i'd love to|i swear i'll|some(?:one|body) (?:should|ought to|needs to|has to))"
+_LIMB = r"(?:face|skull|head|jaw|teeth|throat|neck|legs?|arms?|bones|fingers|knees?|kneecaps|ribs|nose|tongue|guts|eyes|house|grin|smile)"
+_BODY = r"(?:breasts?|tits|boobs|nipples?|thighs?|pussy|cock|dick|ass|arse|butt|clit|crotch|body|cunt|panties|bra|knickers)"
+_WHO = r"(?:(?:those|these|you|such) (?:[\w'-]+ )?people|(?:your|their|that) (?:kind|sort|lot)|(?:those |these |all |the )?(?:im)?migrants|foreigners|refugees|(?:all |those |the )?(?:women|jews|muslims|christians|blacks|gays|lesbians|gypsies|arabs|asians|africans|mexicans|cripples|disabled))"
+_ALL = r"(?:all |just |nothing but |no better than |little more than |a bunch of |like |worse than |basically |really |such )*"
+PATTERNS = [(k, re.compile(r"(?<![\w'])(?:" + x + r")(?![\w'])")) for k, x in (
+    ("threat", _MEAN + r" (?:[\w'-]+ ){0,2}?(?:kill|murder|hurt|stab|strangle|choke|maim|cripple|bury|slap|gut|drown|beat|skin|punch|destroy) (?:you|u|your (?:whole )?(?:family|kids|children|wife|husband|mother))"),
+    ("threat", _MEAN + r" (?:[\w'-]+ ){0,2}?(?:murder|strangle|stab|slap|beat up|shoot|hang|drown) (?:him|her|that (?:man|woman|girl|boy))"),
+    ("threat", _MEAN + r" (?:[\w'-]+ ){0,2}?(?:break|smash|crack|cut|slit|slash|burn|bash|rip|knock|kick|cave|crush|bust|wring|tear) (?:[\w'-]+ ){0,1}?(?:your|his|her|their) (?:[\w'-]+ )?" + _LIMB),
+    ("threat", r"(?:hope|wish|pray)(?: that)? (?:you|he|she|your (?:[\w'-]+ ){1,3}?)(?: (?!didn't|don't|won't|not|never|doesn't)[\w'-]+){0,3}? ?(?:dies?|burns?|rots?|suffers?|chokes?|bleeds?|drowns?|drops? dead|were dead|gets? (?:cancer|hit by|run over|raped|beaten|sick)|never wakes? up|falls? (?:down|off|under))"),
+    ("threat", r"(?:you|he|she) (?:really |just |all )?(?:should|ought to|deserves? to|needs? to) (?:[\w'-]+ )?(?:die|rot|suffer|hang|bleed|drown|be (?:dead|shot|hanged|beaten|whipped|stabbed|strangled))"),
+    ("threat", r"drop dead|rot in hell|burn in hell|go (?:and )?(?:die|hang yourself|drown yourself|jump off a (?:bridge|cliff|roof))|(?:kill|hang|drown|shoot) yourself|end your (?:own )?(?:miserable )?life|better off dead|wish you were dead|world (?:[\w'-]+ ){1,4}without you|you(?:'re| are) (?:a )?dead (?:man|meat|woman)"),
+    ("threat", r"know where you (?:live|sleep|park)|know where your (?:kids|children|family|wife|husband|daughter|son) [\w'-]+|you(?:'ll| will) (?:never|not|wish you) (?:[\w'-]+ )?(?:walk|breathe|wake up|see tomorrow|leave alive)|you(?:'ll| will) (?:be sorry you were|pay with your|wish you were dead|wish you had never been born)"),
+    ("hate", _WHO + r" (?:are|is) " + _ALL + r"(?:a )?(?:vermin|animals|apes|rats|pigs|dogs|parasites|cockroaches|maggots|lice|monkeys|pests?|savages|filth|scum|trash|garbage|subhumans?|plague|disease|cancer|virus|degenerates|criminals|thieves|liars|terrorists|rapists|inferior|dirty|filthy|lazy|stupid|too (?:stupid|lazy|dirty|dumb)|disgusting)"),
+    ("hate", r"(?<!rats )(?<!mice )are " + _ALL + r"(?:vermin|cockroaches|maggots|subhumans?|savages)"),
+    ("hate", _WHO + r" (?:[\w'-]+ )?(?:should|ought to|need to|must|have to|deserve to) (?:all )?be (?:driven out|deported|exterminated|gassed|shot|locked up|wiped out|put down|castrated|sterili[sz]ed|hanged|burned|burnt|expelled|caged|drowned|rounded up|whipped|beaten|kicked out|thrown out)"),
+    ("hate", _WHO + r" (?:don't|do not|doesn't|never) (?:belong (?:here|in this|among|near|with us)|deserve (?:to live|rights|to vote|to breathe))|(?:back to|from) where(?:ver)? (?:you|they|your kind|their kind) (?:came|crawled|come)|go back to your (?:own )?(?:country|jungle|cave|hole)"),
+    ("hate", r"(?:hate|despise|can't stand|don't trust|never trust|never hire|wouldn't hire|don't hire|get rid of|sick of) (?:all )?" + _WHO + r"|only good (?:[\w'-]+ ){1,3}(?:is|are) (?:a )?dead"),
+    ("sexual", r"(?:want|love|like|need|dying|dream(?:ing)? of|think(?:ing)? (?:of|about)|let me|wanna|gonna|going|i'll|i would|i'd|wish i could)(?: to)? (?:[\w'-]+ ){0,2}?(?:fuck(?:ing)?|lick(?:ing)?|suck(?:ing)?|undress(?:ing)?|grop(?:e|ing)|spank(?:ing)?|fondl(?:e|ing)|sleep with|bend|feel up) (?:you|her|him|your (?:[\w'-]+ )?" + _BODY + r")"),
+    ("sexual", r"(?:touch(?:ing)?|kiss(?:ing)?|tast(?:e|ing)|squeez(?:e|ing)|strok(?:e|ing)|grab(?:bing)?|see|feel(?:ing)?|star(?:e|ing) at|rub(?:bing)?) (?:[\w'-]+ ){0,1}?your (?:[\w'-]+ )?(?!body of)" + _BODY),
+    ("sexual", r"(?:show|send) me (?:a (?:photo|picture) of )?(?:your|some|those) (?:[\w'-]+ )?(?:" + _BODY + r"|nudes?|naked)|(?:take|slip|rip|pull|tear) (?:off your (?:clothes|bra|panties|knickers|skirt|blouse|dress|underwear|shirt)|your (?:clothes|bra|panties|knickers|skirt|blouse|dress|underwear|shirt) (?:off|up|down))|(?:pictur|imagin|dream|think|fantasi[sz])[a-z]* (?:of |about )?you (?:[\w'-]+ )?(?:naked|nude|undressed|topless|bent over|on your knees|in my bed|moaning|on top of me)"),
+    ("sexual", r"(?:mak|get|got|turn)[a-z]* me (?:so |really |all )?(?:hard|horny)|(?:his|her|my|your) (?:[\w'-]+ )?(?:cock|dick|pussy|tits|boobs|nipples?|clit|penis|vagina|erection) (?:[\w'-]+ ){0,4}?(?:inside|in(?:to)? her|in(?:to)? his|throbb\w+|dripping|sucked|licked|moan\w*|thrust\w*)|(?:sucked|licked|stroked|swallowed|sucking|licking|stroking|thrust) (?:[\w'-]+ ){0,2}?(?:his|her|my|your) (?:[\w'-]+ )?(?:cock|dick|pussy|tits|boobs|nipples?|clit|penis|vagina|erection|balls)"),
+    ("insult", r"you(?:'re| are) (?:[\w'-]+ )?(?:a |an |such a )(?:[\w'-]+ )?(?:disgrace|embarrassment|failure|nobody|joke of a|waste of|sorry excuse|pathetic excuse|disease|cancer|parasite)|(?:nobody|no one) (?:[\w'-]+ )?(?:likes|wants|loves|needs|would miss|will miss) you|you(?:'re| are) (?:[\w'-]+ )?too (?:stupid|dumb|thick|dim|dense|useless) to|how (?:stupid|dumb|thick) (?:are you|can you|do you have)|(?:brains?|iq|intelligence|wit) of an? [\w'-]+|you (?:disgust me|make me sick|people make me)|crawl back (?:to|under|into)|shut your (?:[\w'-]+ )?(?:mouth|trap|face|gob|hole)"),
+)]
+#: Words of which a message must hold one before the patterns are tried.
+TRIGGER = set("""kill murder hurt stab strangle choke maim cripple bury slap gut drown beat skin punch destroy shoot hang break smash crack cut slit slash burn bash rip knock kick cave crush bust wring tear hope wish pray die dies rot suffer dead bleed
+deserve deserves yourself life without live sleep park kids children family walk breathe wake sorry hole cave jungle jump vermin animals apes rats pigs dogs parasites cockroaches maggots lice monkeys pest pests savages filth scum trash garbage subhuman subhumans plague disease cancer virus degenerates criminals thieves liars
+terrorists rapists inferior dirty filthy lazy stupid disgusting driven deported exterminated gassed shot locked wiped put castrated sterilised sterilized hanged burned burnt expelled caged drowned rounded whipped beaten kicked thrown belong rights crawled came country hate despise stand trust hire rid sick
+fuck fucking lick licking suck sucking undress undressing grope groping spank spanking fondle fondling bend breasts breast tits boobs nipple nipples thigh thighs pussy cock dick ass arse butt clit crotch body cunt panties bra knickers nude nudes naked clothes skirt blouse dress underwear shirt undressed topless bent knees
+bed moaning hard horny sucked licked stroked swallowed penis vagina erection balls disgrace embarrassment failure nobody joke waste excuse parasite likes wants loves needs miss dumb thick dim dense useless brain brains iq intelligence wit disgust crawl shut smile grin head pay sleep""".split())
+
 MILD = {"fat", "lying", "dumb", "sale", "goddamn", "useless", "miserable"}  # no insult alone
 SELF = {"i'm", "i", "am", "ich", "myself", "je", "suis", "soy", "me"}
 AIMED = {"you", "your", "you're", "youre", "yours", "u", "dein", "deinem", "du", "dich", "dir", "tu", "ta", "ton", "te", "tú", "toi", "espèce", "pedazo"}
@@ -200,6 +233,15 @@ def score(text: str, lexicon: Lexicon, memo: dict) -> tuple[float, str]:
             got = memo[w] = lexicon.near(w)
         hits.append(got)
     n = len(toks)
+    plain = [w if not h or w in h else min(h) if len(h) == 1 else w for w, h in zip(toks, hits, strict=True)]
+    if not TRIGGER.isdisjoint(plain):
+        flow = " ".join(plain)
+        for k, pattern in PATTERNS:
+            for m in pattern.finditer(flow):
+                near = flow[: m.start()].split()[-8:] + flow[m.end() :].split()[:9]
+                v = 0.4 if ABOUT & set(near) and not AIMED & set(m[0].split()) else 1.0
+                if v > best:
+                    best, kind = v, k
     for i in [i for i, h in enumerate(hits) if h]:
         for w in hits[i]:
             for k, p in lexicon.first.get(w, ()):
