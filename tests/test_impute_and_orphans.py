@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidepath.operators import impute, orphans
 
@@ -108,3 +109,18 @@ def test_orphans_wait_resolve_and_reopen(spark, tmp_path):
     s = orphans.advance(s, new_refs=refs(spark, [("t", "id", "2", day(6)), ("t", "id", "2", day(8)), ("t", "id", "2", day(9))]))
     assert keys(s) == {("1", 1), ("2", 1), ("2", 8), ("2", 9)}
     assert {(r.month, r.orphans, r.held) for r in orphans.snapshot(s).collect()} == {("2021-01", 4, 1)}
+
+
+def test_orphan_counts_are_rows(spark):
+    day = lambda i: D0 + dt.timedelta(i)
+    exposures = spark.createDataFrame([(day(0), 1), (day(0), 2), (day(5), 1), (day(5), 1), (day(5), 2), (day(5), None), (None, 1), (None, 9), (None, 9), (day(0), 9)], "date date, stable_id long")
+    labels = spark.createDataFrame([(None, 8), (day(0), 1), (None, None)], "date date, stable_id long")
+    securities = spark.createDataFrame([(1, None, None), (2, day(-9), day(90))], "stable_id long, listed_on date, deleted_on date")
+    s = orphans.panel_orphans(exposures, labels, securities, spark.createDataFrame([(day(0),)], "date date"))
+    got = {(r.table_name, r.field, r.month): (r.orphans, r.held) for r in orphans.snapshot(s).collect()}
+    assert got == {("exposures", "date", "2021-01"): (3, 3), ("exposures", "stable_id", "2021-01"): (1, 4), ("exposures", "stable_id", "(none)"): (1, 1), ("labels", "stable_id", "2021-01"): (0, 1), ("labels", "stable_id", "(none)"): (1, 0)}
+    more = spark.createDataFrame([(day(5), 2), (day(5), 3), (None, 9)], "date date, stable_id long").withColumn("day_key", F.date_format("date", "yyyy-MM-dd"))
+    new = orphans.references(more, "exposures", "date", "day_key", "date", "stable_id").unionByName(orphans.references(more, "exposures", "stable_id", "stable_id", "date"))
+    s = orphans.advance(s, new_refs=new)
+    got = {(r.table_name, r.field, r.month): (r.orphans, r.held) for r in orphans.snapshot(s).collect()}
+    assert got["exposures", "date", "2021-01"] == (4, 3) and got["exposures", "stable_id", "(none)"] == (1, 1)

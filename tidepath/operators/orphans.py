@@ -1,13 +1,16 @@
 """References to records that do not exist, kept as pending state that is advanced by increments.
 
-Method. The state is one row per reference (table, field, key, date) with the status `open` (an orphan
+Method. The state is one row per reference (table, field, key, date, row_id) with the status `open` (an orphan
 waiting) or `held` (a parent holds it), next to the parent index, one row per key with the days it covers.
 `advance` takes what is new: new references probe the parent index; arriving parents resolve waiting
 references of their keys; deletions reopen references they no longer cover. Only keys that the increment
 touches are judged again. `snapshot` counts the open ones per table, field and month.
 
-Scale. References are made unique before they move, so a key named by a third of all rows is shuffled as
-its distinct days only. The index is joined by key; no side is broadcast by hand.
+`row_id` tells apart the rows that name the same key on the same date: it is empty where key and date are the
+row's own key, and the row's stable_id where the key is a day, so a stray day counts once per row that names it.
+
+Scale. References are made unique before they move, so repeated rows are shuffled once. The index is joined by
+key; no side is broadcast by hand.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REFS = "table_name string, field string, key string, date date, status string"
+REFS = "table_name string, field string, key string, date date, row_id string, status string"
+KNOWN = ["table_name", "field", "key", "date", "row_id"]
 PARENTS = "field string, key string, since date, until date"
 
 
 @dataclass
 class OrphanState:
-    """refs: REFS, unique by (table_name, field, key, date). parents: PARENTS, unique by (field, key); a NULL
+    """refs: REFS, unique by KNOWN; a NULL date is a row without one, row_id is never NULL. parents: PARENTS, unique by (field, key); a NULL
     `since` or `until` means no limit. `until` is the first day the parent is gone."""
 
     refs: DataFrame
@@ -34,21 +38,23 @@ def empty_state(spark: SparkSession) -> OrphanState:
     return OrphanState(spark.createDataFrame([], REFS), spark.createDataFrame([], PARENTS))
 
 
-def references(rows: DataFrame, table: str, field: str, key: str, date: str) -> DataFrame:
-    """Distinct references of a table: a null key refers to nothing and is left out, so is a null date."""
-    return rows.select(F.lit(table).alias("table_name"), F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(date).cast("date").alias("date")).where("key is not null and date is not null").distinct()
+def references(rows: DataFrame, table: str, field: str, key: str, date: str, row_id: str | None = None) -> DataFrame:
+    """Distinct references of a table: a null key refers to nothing and is left out. A reference without a date
+    stays: its key may be unknown all the same."""
+    own = F.lit("") if row_id is None else F.coalesce(F.col(row_id).cast("string"), F.lit(""))
+    return rows.select(F.lit(table).alias("table_name"), F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(date).cast("date").alias("date"), own.alias("row_id")).where("key is not null").distinct()
 
 
 def _judge(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """References with the status the parent index gives them now."""
+    """References with the status the parent index gives them now. Without a date only the key is looked for."""
     p = parents.select(F.col("field").alias("p_field"), F.col("key").alias("p_key"), "since", "until")
     x = refs.join(p, (F.col("field") == F.col("p_field")) & (F.col("key") == F.col("p_key")), "left")
-    covered = F.col("p_key").isNotNull() & (F.col("since").isNull() | (F.col("date") >= F.col("since"))) & (F.col("until").isNull() | (F.col("date") < F.col("until")))
-    return x.select("table_name", "field", "key", "date", F.when(covered, "held").otherwise("open").alias("status"))
+    covered = F.col("p_key").isNotNull() & (F.col("date").isNull() | (F.col("since").isNull() | (F.col("date") >= F.col("since"))) & (F.col("until").isNull() | (F.col("date") < F.col("until"))))
+    return x.select(*KNOWN, F.when(covered, "held").otherwise("open").alias("status"))
 
 
 def advance(state: OrphanState, new_refs: DataFrame | None = None, new_parents: DataFrame | None = None, deletions: DataFrame | None = None) -> OrphanState:
-    """The state after an increment. new_refs: as from references(). new_parents: PARENTS, which add keys or
+    """The state after an increment. new_refs: as from references(), row_id may be missing. new_parents: PARENTS, which add keys or
     replace those of the index. deletions: field, key, until. Several rows of a key in one increment: the
     earliest `since` and the latest `until` of parents, the earliest `until` of deletions. Deletions of unknown keys and
     references seen before change nothing."""
@@ -68,8 +74,10 @@ def advance(state: OrphanState, new_refs: DataFrame | None = None, new_parents:
         rest = refs.join(touched, ["field", "key"], "left_anti")
         refs = rest.unionByName(_judge(again.drop("status"), parents))
     if new_refs is not None:
-        known = ["table_name", "field", "key", "date"]
-        fresh = new_refs.select(*known).where("key is not null and date is not null").distinct().join(refs.select(*known), known, "left_anti")
+        own = F.coalesce("row_id", F.lit("")) if "row_id" in new_refs.columns else F.lit("")
+        fresh = new_refs.withColumn("row_id", own).select(*KNOWN).where("key is not null").distinct().alias("n")
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in KNOWN]
+        fresh = fresh.join(refs.select(*KNOWN).alias("o"), same, "left_anti")
         refs = refs.unionByName(_judge(fresh, parents))
     return OrphanState(refs, parents)
 
@@ -79,8 +87,8 @@ def pending(state: OrphanState) -> DataFrame:
 
 
 def snapshot(state: OrphanState) -> DataFrame:
-    """(table_name, field, month, orphans, held) of the state."""
-    by = state.refs.groupBy("table_name", "field", F.date_format("date", "yyyy-MM").alias("month"))
+    """(table_name, field, month, orphans, held) of the state, in rows; the month is `(none)` where there is no date."""
+    by = state.refs.groupBy("table_name", "field", F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("(none)")).alias("month"))
     return by.agg(F.count(F.when(F.col("status") == "open", 1)).alias("orphans"), F.count(F.when(F.col("status") == "held", 1)).alias("held"))
 
 
@@ -93,7 +101,8 @@ def save(state: OrphanState, folder: str, version: int) -> OrphanState:
 
 
 def load(spark: SparkSession, folder: str, version: int) -> OrphanState:
-    return OrphanState(spark.read.schema(REFS).parquet(f"{folder}/v{version}/refs"), spark.read.schema(PARENTS).parquet(f"{folder}/v{version}/parents"))
+    refs = spark.read.schema(REFS).parquet(f"{folder}/v{version}/refs").fillna("", ["row_id"])
+    return OrphanState(refs, spark.read.schema(PARENTS).parquet(f"{folder}/v{version}/parents"))
 
 
 def panel_orphans(exposures: DataFrame, labels: DataFrame, securities: DataFrame, trading_days: DataFrame) -> OrphanState:
@@ -102,7 +111,7 @@ def panel_orphans(exposures: DataFrame, labels: DataFrame, securities: DataFrame
     ids = securities.select(F.lit("stable_id").alias("field"), F.col("stable_id").cast("string").alias("key"), F.col("listed_on").cast("date").alias("since"), F.lit(None).cast("date").alias("until"))
     days = trading_days.where("date is not null").select(F.lit("date").alias("field"), F.date_format("date", "yyyy-MM-dd").alias("key"), F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("until"))
     refs = references(exposures, "exposures", "stable_id", "stable_id", "date").unionByName(references(labels, "labels", "stable_id", "stable_id", "date"))
-    refs = refs.unionByName(references(exposures.withColumn("day_key", F.date_format("date", "yyyy-MM-dd")), "exposures", "date", "day_key", "date"))
+    refs = refs.unionByName(references(exposures.withColumn("day_key", F.date_format("date", "yyyy-MM-dd")), "exposures", "date", "day_key", "date", "stable_id"))
     state = advance(empty_state(exposures.sparkSession), new_refs=refs, new_parents=ids.unionByName(days))
     gone = securities.where("deleted_on is not null").select(F.lit("stable_id").alias("field"), F.col("stable_id").cast("string").alias("key"), F.col("deleted_on").cast("date").alias("until"))
     return advance(state, deletions=gone)

@@ -55,24 +55,19 @@ def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stable_id", day(F.col("date")).alias("date"), *[F.round(F.col(c), 3).alias(c) if "_days_" not in c else F.col(c) for c in out.columns[2:]])
 
 
-def _orphans(spark: SparkSession, d: str) -> tuple[orphans.OrphanState, DataFrame]:
-    exposures = read(spark, d, "exposures", ("date", "stable_id"))
-    state = orphans.panel_orphans(exposures, read(spark, d, "labels", ("date", "stable_id")), read(spark, d, "securities", ("stable_id", "listed_on", "deleted_on")), read(spark, d, "trading_days", ("date",)))
-    return state, exposures
+def _orphans(spark: SparkSession, d: str) -> orphans.OrphanState:
+    return orphans.panel_orphans(read(spark, d, "exposures", ("date", "stable_id")), read(spark, d, "labels", ("date", "stable_id")), read(spark, d, "securities", ("stable_id", "listed_on", "deleted_on")), read(spark, d, "trading_days", ("date",)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    state, exposures = _orphans(spark, d)
-    open_refs = orphans.pending(state)
-    ids = open_refs.where("field = 'stable_id'").select("table_name", "field", F.col("key").cast("long").alias("stable_id"), day(F.col("date")).alias("date"))
-    days = open_refs.where("field = 'date' and table_name = 'exposures'").select("date")
-    rows = exposures.where("stable_id is not null and date is not null").join(days, "date", "left_semi").distinct()
-    return ids.unionByName(rows.select(F.lit("exposures").alias("table_name"), F.lit("date").alias("field"), "stable_id", day(F.col("date")).alias("date")))
+    open_refs = orphans.pending(_orphans(spark, d)).where("date is not null and (field = 'stable_id' or row_id != '')")
+    own = F.when(F.col("field") == "stable_id", F.col("key")).otherwise(F.col("row_id"))
+    return open_refs.select("table_name", "field", own.cast("long").alias("stable_id"), day(F.col("date")).alias("date"))
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan and held references per table, field and month."""
-    return orphans.snapshot(_orphans(spark, d)[0])
+    """Rows with orphan and with held references per table, field and month."""
+    return orphans.snapshot(_orphans(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_grid, p3_found, p3_daily, p3_exposures, p4_trailing, p5_found, p5_counts)}

@@ -13,7 +13,7 @@ from tidepath.operators import orphans
 
 def watch(events: DataFrame, folder: str, checkpoint: str, on_snapshot: Callable[[int, DataFrame], None] | None = None, every: int = 1, **trigger) -> StreamingQuery:
     """Starts a query over a stream of changes: kind (`reference`, `parent` or `deletion`), table_name, field, key,
-    date (of a reference), since, until. State versions are written below `folder`, one per batch; a batch that is run
+    date (of a reference), row_id (optional), since, until. State versions are written below `folder`, one per batch; a batch that is run
     again after a failure starts from the version before it, so it counts once. `on_snapshot` gets the counts of every
     n-th batch."""
     spark = events.sparkSession
@@ -23,7 +23,7 @@ def watch(events: DataFrame, folder: str, checkpoint: str, on_snapshot: Callable
         of = lambda kind: batch.where(F.col("kind") == kind)
         batch.persist()
         try:
-            state = orphans.advance(state, of("reference").select("table_name", "field", "key", "date"), of("parent").select("field", "key", "since", "until"), of("deletion").select("field", "key", "until"))
+            state = orphans.advance(state, of("reference"), of("parent").select("field", "key", "since", "until"), of("deletion").select("field", "key", "until"))
             state = orphans.save(state, folder, number)
         finally:
             batch.unpersist()
