@@ -1,4 +1,4 @@
-"""Learned operators over one date's cross-section: networks in NumPy, a ridge trainer, yearly refits.
+"""Learned operators over one date's cross-section: networks in NumPy, a ridge trainer (no yearly refits yet).
 
 A date's names are mixed by attention, so a date is one group (a few thousand names); dates are independent.
 """
