@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidepath.llm import TOKENIZERS
 from tidepath.llm.abuse import plain_source
-from tidepath.llm.tokens import ranks
+from tidepath.llm.tokens import PATTERN, ranks
 from tidepath.sources.tables import shared_dir, spread
 
 FEATURES = 4096
@@ -35,20 +35,10 @@ STEPS = 60
 SLICES = 4096
 
 
-def pattern(path: str = TOKENIZERS) -> str:
-    """The word pattern that stands beside the tokenizer files."""
-    import importlib.util
-
-    spec = importlib.util.spec_from_file_location("tokenizer_folder", f"{path}/__init__.py")
-    folder = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(folder)
-    return folder.PATTERN
-
-
 def with_tokens(documents: DataFrame, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """documents(doc_id, source, text) to doc_id, source, tokens: the number of tokens of the whole text, 0 for NULL and
     empty ones."""
-    table, words = ranks(path, name), pattern(path)
+    table, words = ranks(path, name), PATTERN
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken

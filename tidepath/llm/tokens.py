@@ -1,10 +1,13 @@
-"""Byte-level BPE ids by Spark expressions: words fold ranked merges over their bytes with a literal rank map.
+"""Byte-level BPE ids by Spark expressions: words fold ranked merges over their bytes with literal rank tables.
 
 A text is cut in words by the tokenizer's pattern. A word that is itself a token has its rank as id. Any other
-word starts as its bytes; a fold joins, again and again, the neighbouring pair of lowest rank. The rank map is a literal: an array of small maps, the map
-of a byte string found by its hash, so that a look-up costs a few comparisons and not a scan of the vocabulary.
+word is folded: its state is a string with one character per piece, at first one per byte, and each step replaces
+the neighbouring pair of lowest rank, wherever it stands, by the character of the joined piece. Replacing is one
+native call, so a step costs one look-up for each pair left and little else.
 
-Byte strings are held as strings with one character (U+0000 to U+00FF) per byte.
+Tables are literals of two slots a key (cuckoo hashing on the 64-bit hash): a look-up is at most two comparisons.
+Functions that scan (`array_position`, look-ups in maps, slices) are avoided on purpose: inside a higher-order function
+each costs as much as ten such look-ups.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from tidepath.sources.tables import spread
 
 # fixed values of the public pattern, with Unicode white space spelled for Java
 WORDS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-BUCKETS = 1 << 15
+#: The same for regex engines that know `\s` as Unicode white space.
+PATTERN = WORDS.replace(r"\p{IsWhite_Space}", r"\s").replace(r"\P{IsWhite_Space}", r"\S")
+PLACE = 31  # bits that hold a pair's place in its word, below its rank
+DONE = "￿"  # stands behind a state that no pair can shorten
+TABLES = "words array<string>, word_ids array<int>, pairs array<string>, pair_ids array<int>, chars array<string>, bytes array<int>"
 
 
 def ranks(path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[bytes, int]:
@@ -31,67 +38,112 @@ def ranks(path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[bytes, int
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _hash_table(entries: dict[str, int]) -> tuple[list[str | None], list[int | None]]:
+    """Keys and values in slots, each key in one of the two its hash names."""
+    n = 1 << (len(entries) * 2).bit_length()
+    slots = lambda k: ((h := xxhash.xxh64_intdigest(k.encode(), seed=42)) & (n - 1), (h >> 32) & (n - 1))  # noqa: E731  as the SQL function xxhash64
+    keys: list[str | None] = [None] * n
+    values: list[int | None] = [None] * n
+    for key, value in entries.items():
+        k, v, at = key, value, slots(key)[0]
+        for _ in range(10_000):
+            k, keys[at] = keys[at], k
+            v, values[at] = values[at], v
+            if k is None:
+                break
+            one, two = slots(k)
+            at = two if at == one else one
+        else:
+            raise ValueError(f"no free slot for {key!r} among {n}")
+    return keys, values
+
+
 @functools.lru_cache(maxsize=4)
-def _buckets(path: str, name: str) -> str:
-    out: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks(path, name).items():
-        s = token.decode("latin-1")
-        h = xxhash.xxh64_intdigest(s.encode(), seed=42)  # as the SQL function xxhash64
-        out[h % BUCKETS][s] = rank
-    return json.dumps(out, separators=(",", ":"))
+def _tables(path: str, name: str) -> tuple[str, int, int]:
+    """The tables as JSON, and the slots of the words and of the pairs."""
+    known = ranks(path, name)
+    byte = {known[bytes([i])]: chr(i) for i in range(256)}
+    char = lambda i: byte.get(i) or chr(256 + i)
+    if 256 + max(known.values()) >= 0xD800:
+        raise ValueError("the vocabulary is larger than the characters that can stand for its pieces")
+    words, pairs = {}, {}
+    for token, rank in known.items():
+        try:
+            words[token.decode()] = rank
+        except UnicodeDecodeError:  # no word of a text
+            pass
+        for i in range(1, len(token)):
+            a, b = known.get(token[:i]), known.get(token[i:])
+            if a is not None and b is not None:
+                pairs[char(a) + char(b)] = rank
+    chars: list[str | None] = [None] * (max(known.values()) + 1)
+    for i in known.values():
+        chars[i] = char(i)
+    wk, wi = _hash_table(words)
+    pk, pi = _hash_table(pairs)
+    text = json.dumps({"words": wk, "word_ids": wi, "pairs": pk, "pair_ids": pi, "chars": chars, "bytes": [known[bytes([i])] for i in range(256)]}, separators=(",", ":"))
+    return text, len(wk), len(pk)
+
+
+def rank_tables(path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
+    """The literal: a struct of TABLES, folded to a constant when the plan is optimised."""
+    return F.from_json(F.lit(_tables(path, name)[0]), TABLES)
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with a large value evaluated once and not copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_map(path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
-    """The literal: array<map<string,int>>, folded to a constant when the plan is optimised."""
-    return F.from_json(F.lit(_buckets(path, name)), "array<map<string,int>>")
+def let(value: Column, body) -> Column:
+    """body(value) with a small value computed once; an aggregate's end costs less than an array around the value."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda a, _: a, body)
 
 
-def rank_of(table: Column, s: Column) -> Column:
-    """Rank of a byte string, NULL if it is no token."""
-    return F.get(table, F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int"))[s]
+def rank_of(keys: Column, values: Column, slots: int, s: Column) -> Column:
+    """Value of a key in a table of two slots a key, NULL if it has none."""
 
+    def look(h: Column) -> Column:
+        one, two = h.bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1))
+        return F.when(F.get(keys, one) == s, F.get(values, one)).when(F.get(keys, two) == s, F.get(values, two))
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(F.xxhash64(s), look)
 
 
-def merge(table: Column, word: Column) -> Column:
-    """Ids of a byte string by ranked merges.
+def merge(table: Column, slots: int, word: Column) -> Column:
+    """Ids of a word of at least two bytes that is no token, held as one character (U+0000 to U+00FF) per byte.
 
-    The fold's state is where its pieces start, with the end after the last; a join takes one start out. A state
-    that no pair can shorten gets a 0 behind it, which lets the rounds left pass at no cost."""
-    n = F.length(word)
-    piece = lambda s, i, k: F.substring(word, F.get(s, i), F.get(s, i + k) - F.get(s, i))
+    A pair's rank and, below it, its place make one number, so the least number names the leftmost pair of lowest rank.
+    All places of that pair are joined in one step, left to right, as joining them one by one would. The steps left
+    after the last join find DONE and cost next to nothing."""
 
     def step(s: Column, _: Column) -> Column:
-        def join(pairs: Column) -> Column:
-            # the second piece's start of the leftmost pair of lowest rank
-            return let(F.array_min(pairs), lambda best: F.when(best.isNull(), F.array_append(s, F.lit(0))).otherwise(F.array_remove(s, F.get(s, F.array_position(pairs, best).cast("int")))))
-
-        open_ = F.when(F.size(s) > 2, let(F.transform(F.sequence(F.lit(0), F.size(s) - 3), lambda i: rank_of(table, piece(s, i, 2))), join)).otherwise(s)
-        return F.when(F.get(s, F.size(s) - 1) == 0, s).otherwise(open_)
+        def join(best: Column) -> Column:
+            pair = F.substring(s, best.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"), F.lit(2))
+            return F.when(best.isNull(), F.concat(s, F.lit(DONE))).otherwise(F.replace(s, pair, F.get(table["chars"], F.shiftright(best, PLACE))))
 
-    def ids(s: Column) -> Column:
-        return let(F.filter(s, lambda x: x > 0), lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: rank_of(table, piece(e, i, 1))))
+        placed = lambda i: let(F.substring(s, i, F.lit(2)), lambda p: F.shiftleft(rank_of(table["pairs"], table["pair_ids"], slots, p).cast("long"), PLACE).bitwiseOR(i.cast("long")))
+        return F.when(F.endswith(s, F.lit(DONE)), s).otherwise(let(F.array_min(F.transform(F.sequence(F.lit(1), F.length(s) - 1), placed)), join))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step, ids)
+    id_of = lambda c: let(F.ascii(c), lambda a: F.when(a < 256, F.get(table["bytes"], a)).otherwise(a - 256))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), word, step, lambda s: F.transform(F.split(F.replace(s, F.lit(DONE), F.lit("")), ""), id_of))
 
 
 def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
     """array<int> of a text's ids, without special tokens: strings that look like them are ordinary text. NULL and
     empty texts give an empty array. The whole text is encoded, however long; a single word without white space
-    or change between letters, digits and signs costs its length squared."""
+    or change between letters, digits and signs costs its length times its distinct joins."""
+    _, of_words, of_pairs = _tables(path, name)
     bytes_of = lambda w: F.when(F.length(w) == F.octet_length(w), w).otherwise(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))
 
     def ids(table: Column) -> Column:
         def word(w: Column) -> Column:
-            return let(bytes_of(w), lambda s: let(rank_of(table, s), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(merge(table, s))))
+            return let(rank_of(table["words"], table["word_ids"], of_words, w), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(let(bytes_of(w), lambda s: merge(table, of_pairs, s))))
 
         return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0)), word))
 
     # the literal stands once in the plan, not at each look-up
-    return let(rank_map(path, name), ids)
+    return bind(rank_tables(path, name), ids)
 
 
 def encode_documents(documents: DataFrame, id_column: str = "doc_id", text: str = "text", path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
