@@ -76,3 +76,46 @@ def test_intraday_across_dates_equals_one_block(spark):
         rows[i][3] *= 1.1
     f = spikes.flag_intraday(spark.createDataFrame(rows, "date date, time long, stable_id long, close double, volume double"))
     assert {(r.date, r.time) for r in f.where("rule = 'spike'").collect()} == {(str(rows[i][0]), rows[i][1]) for i in (39, 40, 80, 100)}
+
+
+def tails(spark, scales, n, shape=0.0, rate=0.08, spoiled=0.0, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for sid, scale in enumerate(scales):
+        m = int(n * rate)
+        x = rng.exponential(1, m)
+        x = x if shape == 0 else np.expm1(shape * x) / shape
+        z = 2 + scale * x
+        z[: int(m * spoiled)] += 60
+        rows += [(sid, float(v), n) for v in z]
+    return spark.createDataFrame(rows, "sid long, z double, size long")
+
+
+def test_fitted_tails_reach_the_true_quantiles(spark):
+    t = spikes.Tail(risk=1e-6, threshold=2.0)
+    for shape, slack in ((0.0, 0.15), (0.15, 0.35)):
+        scales = np.linspace(0.7, 1.3, 12)
+        got = {r.sid: r.cutoff for r in spikes.fit_tails(tails(spark, scales, 20_000, shape), t).collect()}
+        far = np.log(0.08 / 1e-6)
+        reach = far if shape == 0 else np.expm1(shape * far) / shape
+        for sid, scale in enumerate(scales):
+            assert abs(got[sid] / (2 + scale * reach) - 1) < slack
+
+
+def test_wrong_readings_do_not_bend_the_tails(spark):
+    clean = spikes.fit_tails(tails(spark, [1.0] * 10, 5000), spikes.CLOSE).toPandas()["cutoff"].mean()
+    spoiled = spikes.fit_tails(tails(spark, [1.0] * 10, 5000, spoiled=0.1), spikes.CLOSE).toPandas()["cutoff"].mean()
+    assert abs(spoiled / clean - 1) < 0.1
+
+
+def test_no_peaks_give_no_cutoffs(spark):
+    assert spikes.fit_tails(spark.createDataFrame([], "sid long, z double, size long"), spikes.CLOSE).count() == 0
+
+
+def test_levels_reach_over_thin_blocks(spark):
+    """Blocks of one or two readings: the level takes as many blocks on either side as it needs."""
+    rows = [[D0 + dt.timedelta(i), 40_000_000_000 + k, 1, 30.0 * float(np.exp(0.001 * ((i * 7 + 3 * k) % 5))), 1.0] for i in range(80) for k in range(1 + i // 40)]
+    for i in (20, 21, 22):
+        rows[i][3] *= 1.3
+    f = spikes.flag_intraday(spark.createDataFrame(rows, "date date, time long, stable_id long, close double, volume double"))
+    assert {r.date for r in f.where("rule = 'spike'").collect()} == {str(rows[i][0]) for i in (20, 21, 22)}

@@ -3,11 +3,14 @@
 Method. Every numeric field becomes bins at quantiles, every category a code. One partial aggregation counts
 the joint values of all pairs of fields; their mutual information gives the maximum spanning tree (Chow-Liu),
 their counts its conditional tables. For a row with a missing target, messages from the row's known fields run
-along the tree to the target; the posterior's mode is decoded to the median of that bin (or to the category).
+along the tree to the target. The posterior of a category is decoded to its mode, that of a numeric field to its median:
+the point between bin medians at which half of the posterior lies below. (The mode's own bin median, tried first, is
+further off: it jumps by whole bins where the posterior is flat.)
 
-Scale. The count table has at most fields^2 / 2 * (bins + 1)^2 rows whatever the input; only it reaches the
+Scale. The count table has at most fields^2 / 2 * states^2 rows whatever the input; only it reaches the
 driver. Rows without a gap never leave the JVM. References of a row (its source's neighbouring days, its
-source's and group's medians) come from one row per (source, day), so repeated rows cannot pile up.
+source's and group's medians) come from one row per (source, day), so repeated rows cannot pile up. What is read several
+times is written once as parquet to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepath.functions.cols import finite, positive
-from tidepath.sources.tables import shared_dir
+from tidepath.sources.tables import written
 
 BINS = 24
-CATEGORIES = 64  # categories beyond the commonest share the last code
+CATEGORIES = 4096  # a field of more distinct values is no category and is refused
 
 
 @dataclass
@@ -110,33 +114,54 @@ def bin_of(name: str, edges: list[float]) -> str:
     return f"if({name} is null, null, get(transform(array({name}), v -> size(filter(cast(array({inner}) as array<double>), e -> e <= v))), 0))"
 
 
+def posterior_median(p: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Where half of each posterior lies below, between the medians of its bins. Bins without a median count for nothing."""
+    known = np.isfinite(centre)
+    p, centre = p[:, known], centre[known]
+    p = p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+    middle = np.cumsum(p, 1) - p / 2  # of the mass up to each bin's median
+    k = np.clip((middle < 0.5).sum(1), 1, max(len(centre) - 1, 1))
+    i = np.arange(len(p))
+    if len(centre) == 1:
+        return np.full(len(p), centre[0])
+    lo, hi = middle[i, k - 1], middle[i, k]
+    part = np.clip((0.5 - lo) / np.maximum(hi - lo, 1e-12), 0, 1)
+    return centre[k - 1] + part * (centre[k] - centre[k - 1])
+
+
 def impute(rows: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], bins: int = BINS) -> tuple[DataFrame, Tree | None]:
     """Rows with t__filled added for each target t: NULL where t is known, else the decoded estimate (NULL when
-    no row knows t). targets must be among `numeric`. Columns of the same names must not exist yet. The rows are
-    read several times, so they are written once to the shared folder first."""
-    shared_dir(rows.sparkSession)
-    rows = rows.checkpoint()
+    no row knows t): a double for a numeric target, a string for a categorical one. targets must be among `numeric` and
+    `categorical`; a categorical field may have up to CATEGORIES distinct values (ValueError otherwise). Columns of the same
+    names must not exist yet. The rows are read several times, so they are written once to the shared folder first."""
+    rows = written(rows)
     spec = [F.percentile_approx(c, [i / bins for i in range(1, bins)], F.lit(5000)).alias(c) for c in numeric]
     found = rows.agg(*spec).first()
     edges = {c: sorted(set(found[c] or [])) for c in numeric}
-    codes = {}
-    for c in categorical:  # at most CATEGORIES names reach the driver
-        top = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(CATEGORIES - 1).collect()
-        codes[c] = {r["v"]: i for i, r in enumerate(top)}
+    names: dict[str, list[str]] = {c: [] for c in categorical}
+    if categorical:
+        values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])).alias("x")).select("x.*").where("v is not null").groupBy("c", "v").count()
+        for r in values.orderBy(F.desc("count"), "v").limit(len(categorical) * CATEGORIES + 1).collect():
+            names[r["c"]].append(r["v"])
+    for c in categorical:
+        if len(names[c]) > CATEGORIES:
+            raise ValueError(f"{c} has more than {CATEGORIES} distinct values: no category")
     fields = [f"{c}__s" for c in numeric + categorical]
-    sizes = [len(edges[c]) + 1 for c in numeric] + [len(codes[c]) + 1 for c in categorical]
-    coded = rows.select(
-        "*", *[F.expr(bin_of(c, edges[c])).alias(f"{c}__s") for c in numeric],
-        *[F.when(F.col(c).isNotNull(), sum((F.when(F.col(c).cast("string") == v, i - len(codes[c])).otherwise(0) for v, i in codes[c].items()), F.lit(len(codes[c])))).alias(f"{c}__s") for c in categorical],
-    )
+    sizes = [len(edges[c]) + 1 for c in numeric] + [max(len(names[c]), 1) for c in categorical]
+    coded = rows.select("*", *[F.expr(bin_of(c, edges[c])).alias(f"{c}__s") for c in numeric])
+    for c in categorical:  # a table of CATEGORIES rows at most
+        table = rows.sparkSession.createDataFrame(list(zip(names[c], range(len(names[c])), strict=True)), f"{c}__v string, {c}__s int")
+        coded = coded.join(F.broadcast(table), F.col(c).cast("string") == F.col(f"{c}__v"), "left").drop(f"{c}__v")
     counts = [tuple(r) for r in pair_counts(coded, fields).collect()]  # bounded by fields and states
+    kinds = {t: "string" if t in categorical else "double" for t in targets}
     if not counts:
-        return rows.select("*", *[F.lit(None).cast("double").alias(f"{t}__filled") for t in targets]), None
+        return rows.select("*", *[F.lit(None).cast(kinds[t]).alias(f"{t}__filled") for t in targets]), None
     tree = chow_liu(counts, fields, sizes)
-    centre = {}
-    for t in targets:
-        mids = {r["s"]: r["m"] for r in coded.where(F.col(t).isNotNull()).groupBy(F.col(f"{t}__s").alias("s")).agg(F.percentile_approx(t, 0.5, F.lit(5000)).alias("m")).collect()}
-        centre[t] = np.array([mids.get(i, np.nan) for i in range(sizes[fields.index(f"{t}__s")])])
+    centre = {t: np.full(sizes[fields.index(f"{t}__s")], np.nan) for t in targets if t in numeric}
+    if centre:
+        known = coded.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"{t}__s").alias("s"), F.col(t).cast("double").alias("v")) for t in centre])).alias("x")).select("x.*").where("v is not null")
+        for r in known.groupBy("t", "s").agg(F.percentile_approx("v", 0.5, F.lit(5000)).alias("m")).collect():  # a row per target and bin
+            centre[r["t"]][r["s"]] = r["m"]
     gap = F.lit(False)
     for t in targets:
         gap = gap | F.col(t).isNull()
@@ -147,19 +172,22 @@ def impute(rows: DataFrame, targets: list[str], numeric: list[str], categorical:
             for t in targets:
                 k = fields.index(f"{t}__s")
                 need = states[:, k] < 0
-                got = np.full(len(b), np.nan)
-                if need.any() and np.isfinite(centre[t]).any():
-                    p = np.where(np.isfinite(centre[t])[None, :], posterior(tree, states[need], k), -1.0)
-                    got[need] = centre[t][p.argmax(1)]
+                p = posterior(tree, states[need], k)
+                if t in centre:
+                    got = np.full(len(b), np.nan)
+                    if need.any() and np.isfinite(centre[t]).any():
+                        got[need] = posterior_median(p, centre[t])
+                else:
+                    got = np.full(len(b), None, dtype=object)
+                    if names[t]:
+                        got[need] = np.array(names[t], dtype=object)[p.argmax(1)]
                 b[f"{t}__filled"] = got
             yield b.drop(columns=fields)
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"{t}__filled", T.DoubleType()) for t in targets]])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"{t}__filled", T.StringType() if t in categorical else T.DoubleType()) for t in targets]])
     holes = coded.where(gap).mapInPandas(fill, schema)
-    holes = holes.select(*rows.columns, *[finite(F.col(f"{t}__filled")).alias(f"{t}__filled") for t in targets])
-    whole = rows.where(~gap).select("*", *[F.lit(None).cast("double").alias(f"{t}__filled") for t in targets])
+    holes = holes.select(*rows.columns, *[(F.col(f"{t}__filled") if t in categorical else finite(F.col(f"{t}__filled"))).alias(f"{t}__filled") for t in targets])
+    whole = rows.where(~gap).select("*", *[F.lit(None).cast(kinds[t]).alias(f"{t}__filled") for t in targets])
     return whole.unionByName(holes), tree
 
 
@@ -200,7 +228,7 @@ def fill_daily(daily: DataFrame, securities: DataFrame, bins: int = BINS) -> Dat
     base = F.coalesce(F.sqrt(hi * lo), lo, hi, F.sqrt(F.col("prev") * F.col("next")), "prev", "next", "level", positive(F.col("close")), positive(F.col("open")))
     x = x.withColumn("base", base).withColumn("o", usable_open(F.col("level")))
     c = positive(F.col("close"))
-    rel = lambda a: F.when((a / F.col("base") < 4) & (a / F.col("base") > 0.25), F.log(a / F.col("base")))
+    rel = lambda a: F.log(a / F.col("base"))
     x = x.select(
         *[f"r_{k}" for k in daily.columns], "base", "o", F.col("close").alias("c_raw"), "ind", F.dayofweek("date").alias("dow"),
         rel(F.col("o")).alias("t_open"), rel(c).alias("t_close"), rel(F.col("prev")).alias("t_prev"), rel(F.col("next")).alias("t_next"), F.log(hi / lo).alias("t_range"), F.log1p(positive(F.col("volume"))).alias("t_vol"),
@@ -215,13 +243,13 @@ def fill_daily(daily: DataFrame, securities: DataFrame, bins: int = BINS) -> Dat
 
 
 def fill_exposures(exposures: DataFrame, securities: DataFrame, bins: int = BINS) -> DataFrame:
-    """All rows of exposures with log_mktcap_value and log_mktcap_is_filled added.
+    """All rows of exposures with log_mktcap_value, log_mktcap_is_filled, industry_value and industry_is_filled added.
 
     Filled are values that are NULL, NaN, infinite or placeholders (beyond the 5 and 95 % quantiles of all
     names by more than three times the distance between them). A source without any value is filled from its
-    industry and date; with no usable value anywhere the value is NULL and the mark set. Null keys: kept, filled
-    from industry and date. Columns that have the names of the added ones are replaced."""
-    exposures = exposures.drop("log_mktcap_value", "log_mktcap_is_filled")
+    industry and date; with no usable value anywhere the value is NULL and the mark set. The industry is the security's code; where it has
+    none, the posterior's mode. Null keys: kept, filled from what else the row has. Columns that have the names of the added ones are replaced."""
+    exposures = exposures.drop("log_mktcap_value", "log_mktcap_is_filled", "industry_value", "industry_is_filled")
     v = finite(F.col("log_mktcap"))
     q = exposures.agg(F.percentile_approx(v, [0.05, 0.95], F.lit(10000)).alias("q")).first()["q"] or [0.0, 0.0]
     lo, hi = q[0] - 3 * (q[1] - q[0]) - 1, q[1] + 3 * (q[1] - q[0]) + 1
@@ -240,5 +268,9 @@ def fill_exposures(exposures: DataFrame, securities: DataFrame, bins: int = BINS
     # close steps to the neighbours say most: relative to them where they exist
     mid = F.coalesce((F.col("prev") + F.col("next")) / 2, "prev", "next", base)
     x = x.select(*[f"r_{k}" for k in exposures.columns], "y", "ind", mid.alias("mid"), (F.col("y") - mid).alias("t_y"), (base - mid).alias("t_base"), (F.col("prev") - F.col("next")).alias("t_slope"), "shift", F.dayofweek("d_").alias("dow"), base.alias("size"))
-    done, _ = impute(x, ["t_y"], ["t_y", "t_base", "t_slope", "shift", "size"], ["ind", "dow"], bins)
-    return done.select(*[F.col(f"r_{k}").alias(k) for k in exposures.columns], F.coalesce("y", F.when(F.col("t_y__filled").isNotNull(), F.col("mid") + F.col("t_y__filled"))).alias("log_mktcap_value"), F.col("y").isNull().alias("log_mktcap_is_filled"))
+    done, _ = impute(x, ["t_y", "ind"], ["t_y", "t_base", "t_slope", "shift", "size"], ["ind", "dow"], bins)
+    return done.select(
+        *[F.col(f"r_{k}").alias(k) for k in exposures.columns],
+        F.coalesce("y", F.when(F.col("t_y__filled").isNotNull(), F.col("mid") + F.col("t_y__filled"))).alias("log_mktcap_value"), F.col("y").isNull().alias("log_mktcap_is_filled"),
+        F.coalesce("ind", "ind__filled").alias("industry_value"), F.col("ind").isNull().alias("industry_is_filled"),
+    )

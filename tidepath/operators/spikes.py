@@ -1,95 +1,115 @@
 """Implausible readings: tail cutoffs by peaks over threshold, stuck runs and plausibility rules.
 
-Method. Of each source the absolute log steps from reading to reading are taken as residuals, per season
-(weekday of a daily table, hour of an intraday one) and freed of the season's usual size. Their 90, 95 and
-97.5 % quantiles give a generalised Pareto fit of the peaks over the 90 % threshold (Pickands' estimator,
-which the wrong readings themselves do not bend). The cutoff of a source is where the fitted tail reaches a
-fixed risk, kept within a band around the stated size (nine usual steps, a factor of twenty). A reading is a
-spike if it lies beyond the cutoff from the source's own level before and after it, on one side of both, in
-an excursion of at most three readings. Levels are medians of the five readings before and after.
+Method. A reading's residual is its distance from the nearer of its source's levels before and after it (medians of
+five readings each) where it lies outside both, else 0; it is taken in usual steps (the source's median absolute log
+step) and freed of the season (weekday of a daily table, hour of an intraday one): of the usual size of steps in that
+season, where it is larger than in others, and, for volumes, of the season's level. Residuals over a threshold are the peaks. Their excesses over it give a
+generalised Pareto tail: the shape is fitted to the peaks of all sources together after suspected readings (beyond ten
+median excesses) are set aside, the scale and the rate of peaks to each source's own, drawn towards the whole by a weight
+of PRIOR peaks. A source's cutoff is where its tail has the fixed risk; there is no band around it. A reading beyond the
+cutoff in an excursion of at most three readings is a spike. Stuck and plausibility rules stand beside it.
+
+The shape is not let below 0: a negative one means an end no reading could pass, which peaks this near to the usual
+course cannot tell. It is drawn towards 0 by SHAPE_PRIOR peaks.
 
 Scale. A source may hold a third of all rows, so long series are cut in blocks (one date of an intraday
 source). Each block gets the last and first five readings of its neighbours from a small block table; no
-window spans a whole intraday source. The fit needs one partial aggregation by (source, season).
+window spans a whole intraday source. Peaks, a few percent of the readings, are written to the shared folder once and read from there by
+the fit and by the verdict; two rows of statistics reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepath.functions.cols import day, present
+from tidepath.sources.tables import written
 
 SIDE = 5  # readings of a level on either side
 SPAN = 3  # readings in an excursion at most
-QUANTILES = (0.5, 0.9, 0.95, 0.975)
+PRIOR = 100.0  # peaks of the whole that count beside a source's own
+SHAPE_PRIOR = 1000.0
+FIRST = 30.0
 
 
 @dataclass(frozen=True)
 class Tail:
-    """risk: chance a step of the usual course passes the cutoff. low, high: the cutoff's band, in usual
-    steps (in_steps) or in log units. A usual step is the median absolute log step."""
+    """risk: chance that a reading of the usual course passes the cutoff. threshold: residuals above it are peaks, in
+    usual steps (in_steps) or in log units. scale: mean excess that is expected before any peak is seen; it counts as
+    FIRST peaks and matters to small tables only. level_season: whether levels have a season, too."""
 
-    risk: float = 1e-9
-    low: float = 12.0
-    high: float = 16.0
+    risk: float = 1e-7
+    threshold: float = 2.0
+    scale: float = 1.0
     in_steps: bool = True
+    level_season: bool = False
 
 
 CLOSE = Tail()
-VOLUME = Tail(low=2.77, high=3.1, in_steps=False)
-
-
-def pareto_cutoff(q50: Column, q90: Column, q95: Column, q975: Column, tail: Tail) -> Column:
-    """Quantile at tail.risk of the Pareto tail over q90, within the band. All in usual steps or log units."""
-    half, three = q95 - q90, q975 - q90
-    shape = F.when((half > 0) & (three > half), F.log2(three / half - 1)).otherwise(F.lit(0.0))
-    shape = F.least(F.greatest(shape, F.lit(-0.4)), F.lit(0.4))
-    flat = F.abs(shape) < 1e-3
-    scale = F.when(flat, half / F.log(F.lit(2.0))).otherwise(half * shape / (F.pow(F.lit(2.0), shape) - 1))
-    far = F.lit(0.1 / tail.risk)
-    reach = F.when(flat, F.log(far)).otherwise((F.pow(far, shape) - 1) / shape)
-    return F.least(F.greatest(F.coalesce(q90 + scale * reach, F.lit(tail.low)), F.lit(tail.low)), F.lit(tail.high))
-
-
-def fit_tails(steps: DataFrame, tail: Tail) -> DataFrame:
-    """(sid, usual, cutoff) from steps(sid, season, step). A source without steps has no row. The season table
-    has sources x seasons rows; its two aggregates are partial and spread over tasks."""
-    q = F.percentile_approx("step", list(QUANTILES), F.lit(2000))
-    own = steps.groupBy("sid", "season").agg(q.alias("q"), F.count("step").alias("n"))
-    own = own.select("sid", "season", "n", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(4)])
+VOLUME = Tail(threshold=0.4, scale=0.16, in_steps=False, level_season=True)
+
+
+def fit_tails(peaks: DataFrame, tail: Tail) -> DataFrame:
+    """(sid, cutoff) of peaks(sid, z, size): z above the threshold, and the source's number of readings. Every source with
+    peaks has a row; others have no reading that could pass a cutoff."""
+    excess = F.col("z") - tail.threshold
+    half = peaks.agg(F.percentile_approx(excess, 0.5, F.lit(10_000)).alias("m")).first()["m"]
+    own = peaks.withColumn("x", excess).withColumn("x", F.when(F.col("x") <= 10 * min(half or 0.0, 2 * tail.scale), F.col("x")))
+    q = F.percentile_approx("x", [0.5, 0.75], F.lit(10_000))
+    whole = own.agg(F.count("x").alias("m"), F.avg("x").alias("mean"), q.alias("q")).first()
+    own = own.groupBy("sid").agg(F.max("size").alias("n"), F.count("x").alias("m"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("s"))
+    if not whole["m"]:
+        return own.select("sid", F.lit(None).cast("double").alias("cutoff"))
+    readings = own.agg(F.sum("n").alias("n")).first()["n"]
+    m, (mid, three) = whole["m"], whole["q"]
+    blend = lambda v, first: (m * v + FIRST * first) / (m + FIRST)
+    mean = blend(whole["mean"], tail.scale)
+    shape = max(0.0, math.log2(max(three / mid - 1, 1.0)) * m / (m + SHAPE_PRIOR))
+    scale = blend(mid, tail.scale * math.log(2)) * (shape / (2**shape - 1) if shape > 1e-6 else 1 / math.log(2))
+    x = own.withColumn("scale", (F.col("s") + PRIOR * mean) / ((F.col("m") + PRIOR) * mean) * scale)
+    x = x.withColumn("far", (F.col("m") + PRIOR) / (F.col("n") + PRIOR * readings / m) / tail.risk)
+    reach = (F.pow("far", F.lit(shape)) - 1) / shape if shape > 1e-6 else F.log("far")
+    return x.select("sid", (tail.threshold + F.col("scale") * reach).alias("cutoff"))
+
+
+def seasons(own: DataFrame, tail: Tail) -> DataFrame:
+    """(season, size, level) of own(sid, season, q, n, mean): how much larger steps are in a season than usual, and how
+    much higher readings lie, over all sources. One row per season."""
     by = Window.partitionBy("sid")
-    whole = own.withColumn("mid", F.sum(F.col("q0") * F.col("n")).over(by) / F.sum("n").over(by))
-    season = whole.groupBy("season").agg(F.avg(F.when(F.col("mid") > 0, F.col("q0") / F.col("mid"))).alias("f"))
-    free = whole.join(season, "season").withColumn("f", F.when(F.col("f") > 0, F.col("f")).otherwise(F.lit(1.0)))
-    z = free.groupBy("sid").agg(*[(F.sum(F.col(f"q{i}") * F.col("n") / F.col("f")) / F.sum("n")).alias(f"z{i}") for i in range(4)])
-    usual = F.greatest(F.col("z0"), F.lit(1e-6))
-    unit = usual if tail.in_steps else F.lit(1.0)
-    return z.select("sid", usual.alias("usual"), pareto_cutoff(*[F.col(f"z{i}") / unit for i in range(4)], tail).alias("cutoff"))
+    share = lambda c: F.sum(F.col(c) * F.col("n")).over(by) / F.sum("n").over(by)
+    x = own.select("season", F.col("q"), share("q").alias("mid"), (F.col("mean") - share("mean")).alias("off"))
+    size = F.avg(F.when(F.col("mid") > 0, F.col("q") / F.col("mid"))) if tail.in_steps else F.lit(1.0)
+    level = F.avg("off") if tail.level_season else F.lit(0.0)
+    return x.groupBy("season").agg(size.alias("size"), level.alias("level")).select("season", F.when(F.col("size") > 0, F.col("size")).otherwise(F.lit(1.0)).alias("size"), F.coalesce("level", F.lit(0.0)).alias("level"))
 
 
-def let(value: str, name: str, body: str) -> str:
-    """SQL of `body` with `name` standing for `value`, computed once: Catalyst copies no lambda argument."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+def median_sql(v: list[str]) -> str:
+    """SQL of the median of five columns: a short network where none is NULL, else of those that are not, NULL if all are."""
+    a, b, c, d, e = v
+    low, high = f"greatest(least({a}, {b}), least({c}, {d}))", f"least(greatest({a}, {b}), greatest({c}, {d}))"
+    five = f"greatest(least({e}, {low}), least(greatest({e}, {low}), {high}))"
+    some = f"get(transform(array(array_sort(filter(array({', '.join(v)}), x -> x is not null))), v -> if(size(v) > 0, (get(v, cast((size(v) - 1) div 2 as int)) + get(v, cast(size(v) div 2 as int))) / 2, null)), 0)"
+    return f"if({' and '.join(f'{x} is not null' for x in v)}, {five}, {some})"
 
 
-def median_sql(values: str) -> str:
-    """SQL of the median of the non-null entries of a short array, NULL if there is none."""
-    middle = "if(size(v) > 0, (get(v, cast((size(v) - 1) div 2 as int)) + get(v, cast(size(v) div 2 as int))) / 2, null)"
-    return let(f"array_sort(filter({values}, e -> e is not null))", "v", middle)
-
-
-def spikes(readings: DataFrame, tail: Tail) -> DataFrame:
-    """Readings in short excursions beyond their source's cutoff.
+def peaks(readings: DataFrame, tail: Tail) -> DataFrame:
+    """(sid, block, ord, z, run, size): readings whose residual z, in usual steps or log units, passes the threshold; run is
+    the length of their excursion, size the source's number of readings.
 
     readings: sid, block, ord, season, lx (the log of a possible reading, no NULLs), one row per
-    (sid, block, ord); blocks of a source follow each other in order. Returns (sid, block, ord, steps, cutoff).
-    Empty input gives no rows; a source with readings on one side only has no spikes."""
+    (sid, block, ord); blocks of a source follow each other in order. Empty input gives no rows; readings at either
+    end of a source have no level on one side and are no peaks; a source that never has two readings in a block has no usual step and no peaks."""
     within = "over (partition by sid, block order by ord)"
-    steps = readings.selectExpr("sid", "season", f"abs(lx - lag(lx) {within}) as step").where("step is not null")
-    placed = readings.selectExpr("sid", "block", "ord", "lx", f"row_number() {within} as rn", "count(1) over (partition by sid, block) as size").selectExpr("*", "size - rn + 1 as left")
+    steps = readings.selectExpr("sid", "season", "lx", f"abs(lx - lag(lx) {within}) as step")
+    own = steps.groupBy("sid", "season").agg(F.percentile_approx("step", 0.5, F.lit(2000)).alias("q"), F.count("step").alias("n"), F.avg("lx").alias("mean"))
+    sizes = own.groupBy("sid").agg(F.sum("n").alias("n"), F.greatest(F.sum(F.col("q") * F.col("n")) / F.sum("n"), F.lit(1e-6)).alias("usual"))
+    # a row per season: a table of a few rows at any size
+    timed = readings.join(F.broadcast(seasons(own.where("n > 0"), tail)), "season", "left")
+    placed = timed.selectExpr("sid", "block", "ord", "lx - coalesce(level, 0D) as lx", "coalesce(size, 1D) as size", f"row_number() {within} as rn", "count(1) over (partition by sid, block) as many").selectExpr("*", "many - rn + 1 as left")
     # a block's first and last readings, and those of the blocks around it
     ends = (
         placed.where(f"rn <= {SIDE} or left <= {SIDE}")
@@ -98,31 +118,38 @@ def spikes(readings: DataFrame, tail: Tail) -> DataFrame:
         .selectExpr("sid", "block", "head.lx as head", "tail.lx as tail")
     )
     along = "over (partition by sid order by block)"
+    # every block has a reading, so five blocks on either side hold the five nearest
     near = lambda f, c, ks: "concat(" + ", ".join(f"coalesce({f}({c}, {k}) {along}, cast(array() as array<double>))" for k in ks) + ")"
-    edge = ends.selectExpr("sid", "block", f"{near('lag', 'tail', (3, 2, 1))} as before", f"{near('lead', 'head', (1, 2, 3))} as after")
-    edge = edge.join(fit_tails(steps, tail), "sid", "left")
+    edge = ends.selectExpr("sid", "block", f"{near('lag', 'tail', range(SIDE, 0, -1))} as before", f"{near('lead', 'head', range(1, SIDE + 1))} as after")
+    edge = edge.join(sizes, "sid", "left")
     ks = range(1, SIDE + 1)
     back = [f"coalesce(lag(lx, {k}) {within}, if(rn <= {k}, get(before, size(before) + rn - {k + 1}), null)) as b{k}" for k in ks]
     ahead = [f"coalesce(lead(lx, {k}) {within}, if(left <= {k}, get(after, cast({k} - left as int)), null)) as a{k}" for k in ks]
-    unit = "coalesce(usual, 1e-6D)" if tail.in_steps else "1D"
-    x = placed.join(edge, ["sid", "block"]).selectExpr("sid", "block", "ord", "lx", f"{unit} as unit", "cutoff", *back, *ahead)
-    # a reading near all of one side's readings is none; the medians are taken of the rest only
-    far = lambda s: f"greatest({', '.join(f'abs(lx - {s}{k})' for k in ks)}) >= {tail.low}D * unit"
-    array = lambda s: f"array({', '.join(f'{s}{k}' for k in ks)})"
+    unit = "usual * greatest(size, 1D)" if tail.in_steps else "1D"
+    x = placed.join(edge.where("usual is not null"), ["sid", "block"]).selectExpr("sid", "block", "ord", "lx", "n as readings", f"{unit} as unit", *back, *ahead)
+
+    def apart(s: str) -> str:
+        """Whether half of the readings of a side are far enough for their median to be; cheap, and needed for a peak."""
+        far = " + ".join(f"if(abs(lx - {s}{k}) > {tail.threshold}D * unit, 1, 0)" for k in ks)
+        return f"2 * ({far}) >= {' + '.join(f'if({s}{k} is null, 0, 1)' for k in ks)}"
+
+    x = x.where(f"{apart('b')} and {apart('a')}").selectExpr("*", *[f"{median_sql([f'{s}{k}' for k in ks])} as m{s}" for s in "ba"])
+    x = x.where("(lx > mb and lx > ma) or (lx < mb and lx < ma)").selectExpr("*", "least(abs(lx - mb), abs(lx - ma)) as dev", "if(lx > mb, 1, -1) as side", "(mb + ma) / 2 as mid")
 
     def run(s: str) -> str:
         """Readings next to this one, up to SPAN, that lie out on its side."""
         n = "0"
         for k in range(SPAN, 0, -1):
-            n = f"if(coalesce(d.sign * ({s}{k} - d.mid) >= d.dev / 2, false), 1 + {n}, 0)"
+            n = f"if(coalesce(side * ({s}{k} - mid) >= dev / 2, false), 1 + {n}, 0)"
         return n
 
-    same = "(lx > m.b and lx > m.a) or (lx < m.b and lx < m.a)"
-    length = f"named_struct('dev', d.dev, 'n', 1 + {run('b')} + {run('a')})"
-    verdict = let(f"named_struct('dev', if({same}, least(abs(lx - m.b), abs(lx - m.a)), 0D), 'sign', if(lx > m.b, 1, -1), 'mid', (m.b + m.a) / 2)", "d", length)
-    x = x.where(f"{far('b')} and {far('a')}").selectExpr("*", let(f"named_struct('b', {median_sql(array('b'))}, 'a', {median_sql(array('a'))})", "m", verdict) + " as v")
-    x = x.selectExpr("sid", "block", "ord", "v.dev / unit as steps", "cutoff", "v.n as n")
-    return x.where(f"n <= {SPAN} and steps >= coalesce(cutoff, {tail.low}D)").select("sid", "block", "ord", "steps", "cutoff")
+    return x.where(f"dev > {tail.threshold}D * unit").selectExpr("sid", "block", "ord", "dev / unit as z", f"1 + {run('b')} + {run('a')} as run", "readings as size")
+
+
+def beyond(high: DataFrame, tail: Tail) -> DataFrame:
+    """The peaks that are spikes: (sid, block, ord, z, cutoff). high: peaks, best written already, as it is read several times."""
+    found = high.where(F.col("run") <= SPAN).join(fit_tails(high, tail), "sid")
+    return found.where("z >= cutoff").select("sid", "block", "ord", "z", "cutoff")
 
 
 def stuck(readings: DataFrame, least: int) -> DataFrame:
@@ -149,13 +176,16 @@ def flag_daily(daily: DataFrame, close: Tail = CLOSE, volume: Tail = VOLUME, lea
     once = keyed.groupBy("stable_id", "date").agg(F.max("close").alias("close"), F.max("volume").alias("volume"))
     base = once.select(F.col("stable_id").alias("sid"), F.lit(0).alias("block"), F.col("date").alias("ord"), F.dayofweek("date").alias("season"), "close", "volume")
     fin = lambda c: F.col(c) < F.lit(float("inf"))
-    parts = []
+    parts, high = [], []
     for field, tail, bad in (("close", close, ~fin("close") | (F.col("close") <= 0)), ("volume", volume, F.col("volume") < 0)):
         parts.append(base.where(bad).select(F.lit(field).alias("field"), "sid", "ord", F.lit("impossible").alias("rule")))
         good = base.where(fin(field) & (F.col(field) > 0)).withColumn("lx", F.log(field))
-        parts.append(spikes(good.select("sid", "block", "ord", "season", "lx"), tail).select(F.lit(field).alias("field"), "sid", "ord", F.lit("spike").alias("rule")))
+        high.append(peaks(good.select("sid", "block", "ord", "season", "lx"), tail).withColumn("field", F.lit(field)))
         still = base.where(F.col(field).isNotNull()).select("sid", "block", "ord", F.col(field).alias("x"), (F.col("volume") > 0).alias("active"))
         parts.append(stuck(still, least).select(F.lit(field).alias("field"), "sid", "ord", F.lit("stuck").alias("rule")))
+    both = written(high[0].unionByName(high[1]))
+    for field, tail in (("close", close), ("volume", volume)):
+        parts.append(beyond(both.where(F.col("field") == field), tail).select(F.lit(field).alias("field"), "sid", "ord", F.lit("spike").alias("rule")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -172,7 +202,7 @@ def flag_intraday(intraday: DataFrame, close: Tail = CLOSE, least: int = 12) ->
     fin = F.col("close") < F.lit(float("inf"))
     bad = base.where(~fin | (F.col("close") <= 0)).select("sid", "block", "ord", F.lit("impossible").alias("rule"))
     good = base.where(fin & (F.col("close") > 0)).select("sid", "block", "ord", "season", F.log("close").alias("lx"))
-    high = spikes(good, close).select("sid", "block", "ord", F.lit("spike").alias("rule"))
+    high = beyond(written(peaks(good, close)), close).select("sid", "block", "ord", F.lit("spike").alias("rule"))
     still = stuck(base.select("sid", "block", "ord", F.col("close").alias("x"), (F.col("volume") > 0).alias("active")), least).select("sid", "block", "ord", F.lit("stuck").alias("rule"))
     out = bad.unionByName(high).unionByName(still)
     return out.select(F.lit("intraday").alias("table_name"), F.lit("close").alias("field"), F.col("sid").alias("stable_id"), day(F.col("block")).alias("date"), F.col("ord").cast("long").alias("time"), "rule")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,12 @@ def require(df: DataFrame, columns: tuple[str, ...], name: str = "input") -> Dat
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is
-    unset (tests, one machine) a temporary folder is made and set."""
+    unset and all runs in one process (tests) a temporary folder is made and set. A cluster without it is an error: a
+    folder of one machine would be lost with it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidepath-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, which cuts their lineage and keeps columns apart."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as there are cores, for costly work row by row: a few small files
     would keep the rest idle. Inputs of many files or splits are left where they are."""
