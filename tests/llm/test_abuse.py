@@ -132,3 +132,10 @@ def test_documents_and_rates(spark):
     assert [(r.doc_id, r.score >= 1) for r in s.orderBy("doc_id").collect()] == [(1, True), (2, False), (3, False), (3, False), (4, False)]
     assert {(r.source, r.messages, r.cases) for r in abuse.rates(s).collect()} == {("desk-archive", 3, 1), ("(none)", 1, 0), ("", 1, 0)}
     assert abuse.score_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_multiparts_are_read_however_deep():
+    text = "Content-Type: text/plain\n\nat the bottom"
+    for k in range(40):
+        text = f'Content-Type: multipart/mixed; boundary="b{k}x"\n\n--b{k}x\n{text}\n--b{k}x--\n'
+    assert visible("Subject: s\n" + text).split() == ["s", "at", "the", "bottom"]

@@ -56,28 +56,33 @@ def strip_html(s: str) -> str:
     return html.unescape(_TAG.sub("", s))
 
 
-def visible(text: str | None, depth: int = 0) -> str:
-    """Subject and text parts of a message. NULL gives an empty string; cut or broken parts are read as far as
-    they go; the whole text is read, however long."""
-    if not text:
-        return ""
-    text = text.replace("\r\n", "\n").replace("\r", "\n") if depth == 0 else text
-    headers, body = _split_headers(text.lstrip("\n") if depth == 0 else text)
-    kind = headers.get("content-type", "text/plain")
-    subject = encoded_words(headers.get("subject", "")) if depth == 0 else ""
-    low = kind.lower()
-    if low.startswith("multipart/") and depth < 6 and (m := _BOUNDARY.search(kind)):
-        parts = body.split("--" + m[1])
-        seen = [visible(p.removeprefix("\n"), depth + 1) for p in parts[1:] if not p.startswith("--")]
-        return "\n".join([subject, *seen])
-    if not low.startswith("text/") or headers.get("content-disposition", "").lower().startswith("attachment"):
-        return subject
+def _decoded(body: str, headers: dict[str, str]) -> str:
+    """A text part's body as it is read: its transfer coding undone, and HTML taken off."""
     how = headers.get("content-transfer-encoding", "").lower()
     if how == "base64":
         raw = re.sub(r"[^A-Za-z0-9+/]", "", body)
         body = _bytes_to_text(base64.b64decode(raw[: len(raw) // 4 * 4]))
     elif how == "quoted-printable":
         body = _bytes_to_text(quopri.decodestring(body.encode("utf-8")))
-    if "html" in low or re.match(r"\s*<html", body, re.I):
+    if "html" in headers.get("content-type", "").lower() or re.match(r"\s*<html", body, re.I):
         body = strip_html(body)
-    return subject + "\n" + body
+    return body
+
+
+def visible(text: str | None) -> str:
+    """Subject and text parts of a message, however deep multiparts are nested. NULL gives an empty string; cut or
+    broken parts are read as far as they go; the whole text is read, however long."""
+    if not text:
+        return ""
+    waiting, out = [text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\n")], []
+    while waiting:
+        headers, body = _split_headers(waiting.pop())
+        if not out:
+            out.append(encoded_words(headers.get("subject", "")))
+        kind = headers.get("content-type", "text/plain")
+        if kind.lower().startswith("multipart/") and (m := _BOUNDARY.search(kind)):
+            parts = body.split("--" + m[1])[1:]
+            waiting += [p.removeprefix("\n") for p in reversed(parts) if not p.startswith("--")]
+        elif kind.lower().startswith("text/") and not headers.get("content-disposition", "").lower().startswith("attachment"):
+            out.append(_decoded(body, headers))
+    return "\n".join(out)
