@@ -1,5 +1,6 @@
 import random
 
+import held_out
 import pytest
 
 from tidepath.llm import abuse
@@ -139,3 +140,25 @@ def test_multiparts_are_read_however_deep():
     for k in range(40):
         text = f'Content-Type: multipart/mixed; boundary="b{k}x"\n\n--b{k}x\n{text}\n--b{k}x--\n'
     assert visible("Subject: s\n" + text).split() == ["s", "at", "the", "bottom"]
+
+
+def found_of(sentences, lexicon):
+    return [s for s in sentences if abuse.score(s, lexicon, {})[0] >= 1]
+
+
+def test_held_out_sentences():
+    lexicon = abuse.Lexicon()
+    assert len(found_of(held_out.ABUSIVE, lexicon)) >= 0.8 * len(held_out.ABUSIVE)
+    assert len(found_of(held_out.HARMLESS, lexicon)) <= 0.1 * len(held_out.HARMLESS)
+
+
+def test_the_automaton_finds_what_exact_words_miss():
+    class Exact(abuse.Lexicon):
+        def near(self, token):
+            return frozenset({token} & (self.exact | self.terms.keys()))
+
+    assert len(found_of(held_out.ABUSIVE, Exact())) <= len(found_of(held_out.ABUSIVE, abuse.Lexicon())) - 3
+
+
+def test_no_whole_sentences_in_the_lexicon():
+    assert max(len(p) for _, p in abuse.Lexicon().phrases) <= 3

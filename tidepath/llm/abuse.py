@@ -5,7 +5,7 @@ letters, masked and spaced-out letters). Each distinct word runs as a Levenshtei
 words of the lexicon, which gives the lexicon's words within a distance that grows with length. Hits become
 scores by their context window: a term counts in full when aimed at a person (second person, a name, "such a",
 "what kind of"), and not when aimed at oneself or a thing, or when the window speaks about such words. Phrases of
-the lexicon score as a whole, with at most one word between two of theirs. Patterns of word sets (who means which
+the lexicon (three words at most) score as a whole, with at most one word between two of theirs. Patterns of word sets (who means which
 harm to whom, which group is called what) find wordings that no phrase holds.
 
 Scale. Messages are scored where they are read, batch by batch; nothing is shuffled. The automata's answers are
@@ -34,19 +34,13 @@ connard connasse salopard salope abruti crétin imbécile ordure enculé
 gilipollas cabrón imbécil pendejo inútil estúpido hijoputa zorra""".split()
 SLUR = """stupid worthless spineless snivelling sniveling pathetic useless miserable disgusting filthy ugly lying goddamn braindead fat
 fucking brainless dumb sale espèce pedazo dummes""".split()
-# groups as they are demeaned; `group` in a phrase stands for one to four words
-HATE = """group are vermin|group are v|group are a disease and this country|belong in cages|should be driven out|group are a disease|knew to kneel|thieves and liars by blood|thieves and liars|put down like sick dogs|ought to be put down
-they stink and they steal|won't sit next to group|wherever your kind crawled from|your kind crawled from|a dead one of the|dead one of group is the only good one
-is the only good one|away from our children|let rats run|well let rats|by nature to be let near|too stupid by nature|shouldn't hire group they're|they're filth|we don't want group here
-ungeziefer|gehören weggesperrt|sont de la vermine|qu'on les chasse tous|son una plaga|echarlos a todos|group are animals|subhuman|subhumans""".replace("\n", "|").split("|")
-THREAT = """make you suffer for this|won't walk again|you'll bleed|cut that grin off|put a bullet in|hope you and your family burn|i hope you burn|watch your back|because i'll be behind you
-come to your house|your kids will see it|world would be lighter without you|lighter without you in it|kill yourself|kys|i will kill you|i'll kill you|going to hurt you|break your legs|you will regret|hope you die|you should die|die in a fire
-schlag ich dir|die zähne ein|te casser les dents|partir la cara|go fuck yourself|fuck yourself|fuck you|fuck off|shut your mouth|shut the fuck up|kiss my ass|ferme ta gueule|cierra la boca|verpiss dich|halt endlich dein|dummes maul
-müll raustragen|piensa mejor que tú|no vuelvas nunca|stfu|gtfo of this thread|gtfo|do it properly this time|how do you even dress yourself|must cry each time she remembers|what she gave birth to|nobody likes you|learn to read before you touch
-more sense than you|should be told so daily|and you know it|was yours to check|everyone on this floor knows what|like you could have|and you're the worst of them|nobody asked|piece of shit|son of a bitch|waste of space|take your shit""".replace("\n", "|").split("|")
-SEXUAL = """naked on my desk|with your legs apart|legs apart|your tits|tits|lick your pussy|your pussy|sit on my lap|nothing under that skirt|my fingers inside you|wear the short one|fuck you on|until you scream|attached my dick|my dick|makes you wet
-his cock|cock in her mouth|took his cock|while he moaned|rode him|her nipples|nipples between|blowjob|blowjobs|horny singles|xxx clips|uncensored|hardcore sex|cheap porn|porn|wet girls|live cams|naked wives|naked wives of|nude pics|send nudes|between her thighs
-hard just reading your mail|come over and let me lick|follarte|sin bragas|te baiser|sans culotte|dich ficken|ohne höschen|ficken|suck my|cum on|your breasts|unbutton your blouse|your blouse|hands on your|want to taste you|come to my room|blouse""".replace("\n", "|").split("|")
+# short wordings of three words at most; whatever is longer is left to the patterns
+HATE = "subhuman|subhumans|ungeziefer|untermenschen|abschaum|let rats run|well let rats|knew to kneel".split("|")
+THREAT = """won't walk again|you'll bleed|watch your back|kill yourself|kys|break your legs|you will regret|hope you die|you should die|go to hell|fuck yourself|fuck you|fuck off|shut your mouth|shut up you|kiss my ass
+verpiss dich|fick dich|halt dein maul|die zähne ein|verrecke|stirb endlich|müll raustragen|ferme ta gueule|va te faire|crève donc|cierra la boca|vete al infierno|no vuelvas nunca|muérete
+stfu|gtfo|nobody asked|piece of shit|waste of space|waste of oxygen|waste of skin|take your shit""".replace("\n", "|").split("|")
+SEXUAL = """legs apart|your tits|tits|your pussy|blowjob|blowjobs|my dick|makes you wet|until you scream|his cock|rode him|while he moaned|her nipples|nipples between|horny singles|xxx clips|uncensored|hardcore sex|porn|wet girls|live cams|naked wives
+nude pics|send nudes|between her thighs|follarte|sin bragas|te baiser|sans culotte|dich ficken|ohne höschen|ficken|suck my|cum on|your breasts|your blouse|blouse""".replace("\n", "|").split("|")
 HAN = "你去死 去死吧 去死 混蛋 滚出去 滚开 害虫 废物 傻逼 傻瓜你 蠢货 贱人 婊子 全部赶走 做爱 脱光 裸照 没人会想你 死ね 殺す クズ 馬鹿野郎 害虫だ 追い出せ 裸の写真 やりたい 間抜け 消えろ お前みたいな ぶっ殺 くたばれ セックス".split()
 # words within reach of a lexicon word that are no misspelling of it
 PLAIN = """regards regard regarded reward rewards retain retained studio clowns cows pigs rats lose loses closer looser poser laser bastion batch pitch ditch witch hitch bits ditches switch stitch match bench beach porn0 born corn port part pork pore post picks pricing price priced prices brick trick bricks tricks
@@ -71,6 +65,7 @@ PATTERNS = [(k, re.compile(r"(?<![\w'])(?:" + x + r")(?![\w'])")) for k, x in (
     ("threat", _MEAN + r" (?:[\w'-]+ ){0,2}?(?:kill|murder|hurt|stab|strangle|choke|maim|cripple|bury|slap|gut|drown|beat|skin|punch|destroy) (?:you|u|your (?:whole )?(?:family|kids|children|wife|husband|mother))"),
     ("threat", _MEAN + r" (?:[\w'-]+ ){0,2}?(?:murder|strangle|stab|slap|beat up|shoot|hang|drown) (?:him|her|that (?:man|woman|girl|boy))"),
     ("threat", _MEAN + r" (?:[\w'-]+ ){0,2}?(?:break|smash|crack|cut|slit|slash|burn|bash|rip|knock|kick|cave|crush|bust|wring|tear) (?:[\w'-]+ ){0,1}?(?:your|his|her|their) (?:[\w'-]+ )?" + _LIMB),
+    ("threat", r"may (?:you|he|she|they) (?:[\w'-]+ ){0,2}?(?:choke|rot|die|burn|drown|suffer|bleed)|" + _MEAN + r" (?:[\w'-]+ ){0,1}?(?:break|smash|crush|cut off|chop off) (?:every|each|all|both)(?: of)? (?:[\w'-]+ )?(?:bones?|fingers?|teeth|tooth|ribs?|limbs?|legs?|arms?|knees?)"),
     ("threat", r"(?:hope|wish|pray)(?: that)? (?:you|he|she|your (?:[\w'-]+ ){1,3}?)(?: (?!didn't|don't|won't|not|never|doesn't)[\w'-]+){0,3}? ?(?:dies?|burns?|rots?|suffers?|chokes?|bleeds?|drowns?|drops? dead|were dead|gets? (?:cancer|hit by|run over|raped|beaten|sick)|never wakes? up|falls? (?:down|off|under))"),
     ("threat", r"(?:you|he|she) (?:really |just |all )?(?:should|ought to|deserves? to|needs? to) (?:[\w'-]+ )?(?:die|rot|suffer|hang|bleed|drown|be (?:dead|shot|hanged|beaten|whipped|stabbed|strangled))"),
     ("threat", r"drop dead|rot in hell|burn in hell|go (?:and )?(?:die|hang yourself|drown yourself|jump off a (?:bridge|cliff|roof))|(?:kill|hang|drown|shoot) yourself|end your (?:own )?(?:miserable )?life|better off dead|wish you were dead|world (?:[\w'-]+ ){1,4}without you|you(?:'re| are) (?:a )?dead (?:man|meat|woman)"),
@@ -85,17 +80,31 @@ PATTERNS = [(k, re.compile(r"(?<![\w'])(?:" + x + r")(?![\w'])")) for k, x in (
     ("sexual", r"(?:show|send) me (?:a (?:photo|picture) of )?(?:your|some|those) (?:[\w'-]+ )?(?:" + _BODY + r"|nudes?|naked)|(?:take|slip|rip|pull|tear) (?:off your (?:clothes|bra|panties|knickers|skirt|blouse|dress|underwear|shirt)|your (?:clothes|bra|panties|knickers|skirt|blouse|dress|underwear|shirt) (?:off|up|down))|(?:pictur|imagin|dream|think|fantasi[sz])[a-z]* (?:of |about )?you (?:[\w'-]+ )?(?:naked|nude|undressed|topless|bent over|on your knees|in my bed|moaning|on top of me)"),
     ("sexual", r"(?:mak|get|got|turn)[a-z]* me (?:so |really |all )?(?:hard|horny)|(?:his|her|my|your) (?:[\w'-]+ )?(?:cock|dick|pussy|tits|boobs|nipples?|clit|penis|vagina|erection) (?:[\w'-]+ ){0,4}?(?:inside|in(?:to)? her|in(?:to)? his|throbb\w+|dripping|sucked|licked|moan\w*|thrust\w*)|(?:sucked|licked|stroked|swallowed|sucking|licking|stroking|thrust) (?:[\w'-]+ ){0,2}?(?:his|her|my|your) (?:[\w'-]+ )?(?:cock|dick|pussy|tits|boobs|nipples?|clit|penis|vagina|erection|balls)"),
     ("insult", r"you(?:'re| are) (?:[\w'-]+ )?(?:a |an |such a )(?:[\w'-]+ )?(?:disgrace|embarrassment|failure|nobody|joke of a|waste of|sorry excuse|pathetic excuse|disease|cancer|parasite)|(?:nobody|no one) (?:[\w'-]+ )?(?:likes|wants|loves|needs|would miss|will miss) you|you(?:'re| are) (?:[\w'-]+ )?too (?:stupid|dumb|thick|dim|dense|useless) to|how (?:stupid|dumb|thick) (?:are you|can you|do you have)|(?:brains?|iq|intelligence|wit) of an? [\w'-]+|you (?:disgust me|make me sick|people make me)|crawl back (?:to|under|into)|shut your (?:[\w'-]+ )?(?:mouth|trap|face|gob|hole)"),
+    ("threat", r"(?:put|fire|empty|lodge|plant|stick|ram) (?:a|an|this|my) (?:[\w'-]+ )?(?:bullet|knife|blade|axe|fist|boot|gun|brick) (?:in|into|through|to|up) (?:you|your|his|her|their|him|them)|put a bullet (?:in|into|through) (?!the\b|a\b|an\b|each\b|every\b|this\b|front\b|it\b|my\b)[\w'-]+|(?:cut|wipe|slap|knock|smack|beat|punch|carve) (?:that|the|this|your) (?:[\w'-]+ )?(?:grin|smile|smirk|look|face|sneer) off"),
+    ("threat", r"make (?:you|him|her|them) (?:all )?(?:suffer|bleed|beg|scream|wish)|your (?:kids|children|family|wife|husband|daughter|son|mother|parents) (?:will|are going to|is going to|can) (?:all )?(?:see it|watch|find you|cry|suffer|pay|miss you|bury)|(?:and )?your (?:whole )?(?:family|kids|children|house|wife|husband) (?:will )?(?:burns?|dies?|rots?|bleeds?)"),
+    ("threat", r"(?:i'll|i will|we'll|someone will) be (?:right )?(?:behind|waiting for|coming for|following) you|die in (?:a|hell|pain|agony|your)|(?:hope|wish) (?:[\w'-]+ ){0,5}burns? (?:in|to|with)"),
+    ("threat", r"(?:schlag|hau|brech|prügel|stech|reiß|tret)[a-zß]* (?:ich |wir |man )?(?:dir|dich|euch) |bring[a-z]* (?:ich )?(?:dich|euch|ihn) um|halt[a-z]* (?:endlich )?(?:dein|deine|die) (?:[\w-]+ )?(?:maul|fresse|klappe|schnauze)|(?:te|vous) (?:casser|péter|défoncer|buter|crever|tuer|éclater|fracasser|briser)|ferme[z]? (?:ta|vos|vous) (?:[\w-]+ )?gueule|te (?:voy|vamos) a (?:partir|romper|matar|reventar|destrozar|cortar|quemar)|(?:partirte|romperte|matarte|reventarte)|te (?:parto|rompo|mato|reviento)|partir la cara|ojalá te (?:mueras|pudras)"),
+    ("hate", r"(?:thieves|liars|criminals|savages|animals|parasites|killers|beggars|lazy|dirty|violent|stupid) by (?:blood|nature|birth)|too [\w'-]+ by nature|(?:thieves|liars|criminals) and (?:thieves|liars|criminals|beggars)|they (?:all )?(?:stink|smell|steal|lie|breed|cheat) and (?:they )?(?:all )?(?:stink|smell|steal|lie|breed|cheat)|(?:keep|stay|kept|throw|get|them|people)(?: [\w'-]+){0,5} away from (?:our|decent|normal|honest) (?:children|kids|women|girls|people|families)"),
+    ("hate", r"(?:they|people|kind|sort|lot|[\w'-]+s) (?:all )?(?:should|ought to|must|need to|deserve to) (?:all )?be (?:driven out|put down|exterminated|gassed|rounded up|wiped out|castrated|sterili[sz]ed|caged|drowned|deported)|belongs? in (?:cages|a cage|zoos|a zoo|camps|the gutter|ovens)|dead (?:one|[\w'-]+)(?: of(?: [\w'-]+){1,4})? is the only good|(?:put|shot|culled) (?:down )?like (?:[\w'-]+ )?(?:dogs|cattle|rats|vermin|animals)"),
+    ("hate", r"are (?:a|the) (?:disease|plague|cancer|curse|stain) (?:and|on|of|to|upon|in) (?:this|our|the|that|they|every)|(?:don't|do not|never) want (?:any |those |these |your )?(?:[\w'-]+ ){1,3}(?:here because|here they|near our|in our (?:street|town|country|school|block|building))|(?:your|their) kind (?:crawled|came|belongs?|should|again|here|around|stinks?|will never)"),
+    ("hate", r"(?:gehör[a-z]* (?:alle |allesamt )?(?:weggesperrt|abgeschoben|vergast|eingesperrt|rausgeworfen|vertrieben)|sind (?:alle |nur |doch )*(?:ungeziefer|abschaum|dreck|untermenschen|parasiten|ratten))|sont (?:tous |toutes |que |rien que )*(?:de la |des |du )?(?:vermine|parasites|racaille|déchets|rats|cafards|ordures)|qu'on les (?:chasse|expulse|renvoie|enferme|tue|extermine)|son (?:todos |todas )?(?:una |unos |unas )?(?:plaga|ratas|parásitos|basura|escoria|cucarachas)|(?:echar|expulsar|matar|eliminar)los a todos"),
+    ("sexual", r"(?:naked|nude|undressed|topless|spread|bent) (?:out |over )?(?:on|over|across|in|under) my (?:desk|bed|lap|sofa|couch|chair|car|table)|your legs (?:apart|open|spread|wide)|(?:sit|sat|sitting|bounce|climb) (?:down )?(?:on|onto) my (?:lap|face|knee|dick|cock)|my (?:fingers?|tongue|cock|dick) (?:[\w'-]+ ){0,2}?(?:inside you|up your|between your|all over you|in you)"),
+    ("sexual", r"(?:nothing|no (?:panties|underwear|bra|knickers)) (?:on )?(?:under|underneath|beneath) (?:that|your|the|those|her) (?:[\w'-]+ )?(?:skirt|dress|blouse|shirt|jeans|coat|top|clothes)|wear (?:the|that|your) (?:[\w'-]+ )?(?:short|tight|tiny|low|skimpy) (?:one|skirt|dress|top|blouse|shorts)|(?:cock|dick) in (?:her|his|your|my) (?:mouth|ass|hand|pussy)"),
+    ("sexual", r"(?:hard|wet|horny|turned on) (?:just |only |from |by |when |every time )+(?:i )?(?:read|see|hear|think|watch|look|reading|seeing|hearing|thinking|watching|looking)[a-z]* |(?:want|dying|love|need|going) to (?:[\w'-]+ )?(?:taste|ride|mount|undress|strip|lick) you|(?:come|sneak|slip) (?:up |over |back )?(?:to|into) my (?:room|bed|bedroom) (?:tonight|alone|naked|after|and (?:take|let|bring))"),
+    ("insult", r"(?:a|an|my|the|that) (?:[\w'-]+ ){1,3}(?:has|have|had|shows|with) more (?:sense|brains?|intelligence|wit|talent|spine|decency|charm|personality) than (?:you|your)|(?:piensa|sirve|vale|sabe) (?:mejor|más) que tú|learn (?:how )?to (?:read|write|count|think|spell|add)(?: [\w'-]+)? before you|how do you (?:even |ever |still |manage to )+(?:dress|breathe|feed|tie|function|hold|keep|get (?:up|out|dressed))"),
+    ("insult", r"(?:your|his|her) (?:own )?(?:mother|mum|mom|parents|father|dad) (?:[\w'-]+ ){0,3}?(?:cry|cries|cried|ashamed|regrets?|regretted|weeps?|embarrassed|disappointed|should have)|son of a (?:bitch|whore)|shut the (?:[\w'-]+ )?up|you(?:'re| are) (?:by far )?the (?:worst of (?:them|all|the lot)|dumbest|stupidest|most (?:useless|stupid|incompetent|pathetic|worthless))|rien dans la tête|nichts im kopf"),
 )]
 #: Words of which a message must hold one before the patterns are tried.
 TRIGGER = set("""kill murder hurt stab strangle choke maim cripple bury slap gut drown beat skin punch destroy shoot hang break smash crack cut slit slash burn bash rip knock kick cave crush bust wring tear hope wish pray die dies rot suffer dead bleed
 deserve deserves yourself life without live sleep park kids children family walk breathe wake sorry hole cave jungle jump vermin animals apes rats pigs dogs parasites cockroaches maggots lice monkeys pest pests savages filth scum trash garbage subhuman subhumans plague disease cancer virus degenerates criminals thieves liars
 terrorists rapists inferior dirty filthy lazy stupid disgusting driven deported exterminated gassed shot locked wiped put castrated sterilised sterilized hanged burned burnt expelled caged drowned rounded whipped beaten kicked thrown belong rights crawled came country hate despise stand trust hire rid sick
 fuck fucking lick licking suck sucking undress undressing grope groping spank spanking fondle fondling bend breasts breast tits boobs nipple nipples thigh thighs pussy cock dick ass arse butt clit crotch body cunt panties bra knickers nude nudes naked clothes skirt blouse dress underwear shirt undressed topless bent knees
-bed moaning hard horny sucked licked stroked swallowed penis vagina erection balls disgrace embarrassment failure nobody joke waste excuse parasite likes wants loves needs miss dumb thick dim dense useless brain brains iq intelligence wit disgust crawl shut smile grin head pay sleep""".split())
+bed moaning hard horny bullet knife blade axe fist boot gun brick cry cries cried ashamed regret regrets weeps embarrassed disappointed bitch whore worst dumbest stupidest dress breathe feed tie function sense read count spell legs naked lap desk short tight tongue steal stink smell lie breed cheat cages cage dead by behind waiting following kind
+maul fresse klappe schnauze um dir dich euch te vous gueule les sont son sind gehören gehört partir matarte romperte ojalá cara piensa sirve vale bleed beg scream curse stain only wet sucked licked stroked swallowed penis vagina erection balls disgrace embarrassment failure nobody joke waste excuse parasite likes wants loves needs miss dumb thick dim dense useless brain brains iq intelligence wit disgust crawl shut smile grin head pay sleep""".split())
 
 MILD = {"fat", "lying", "dumb", "sale", "goddamn", "useless", "miserable"}  # no insult alone
 SELF = {"i'm", "i", "am", "ich", "myself", "je", "suis", "soy", "me"}
-AIMED = {"you", "your", "you're", "youre", "yours", "u", "dein", "deinem", "du", "dich", "dir", "tu", "ta", "ton", "te", "tú", "toi", "espèce", "pedazo"}
+AIMED = {"you", "your", "you're", "youre", "yours", "u", "dein", "deinem", "du", "dich", "dir", "tu", "ta", "ton", "te", "tú", "toi", "espèce", "pedazo", "bist", "eres", "sois", "êtes", "es-tu", "vous", "ihr", "euch"}
 ABOUT = {"policy", "training", "filter", "harassment", "discussed", "word", "words", "wording", "survey", "clinic", "course", "definition", "dictionary", "complaints", "insulting", "novel", "persecution", "bug", "loop", "printer", "machine", "configure", "form", "build", "column"}
 LOOK = str.maketrans("аеорсухіјѕԁԛԝһոցьѵɡıοαεικνρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТУХІЈЅ", "aeopcyxijsdqwhngbvgioaeikvptuABEZHIKMNOPTYXABEKMHOPCTYXIJS")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
@@ -167,6 +176,7 @@ class Lexicon:
         self.phrases = _phrases("hate", HATE) + _phrases("threat", THREAT) + _phrases("sexual", SEXUAL)
         words = {w for _, p in self.phrases for w in p if w != "group"}
         self.terms = {**{w: "slur" for w in SLUR}, **{w: "person" for w in PERSON}}
+        words |= {w for w in TRIGGER if len(w) >= 5}  # the patterns' own words, misspelled too
         self.exact = {w for w in words if w not in self.terms}
         self.alone = {p[0] for _, p in self.phrases if len(p) == 1}
         self.plain = set(PLAIN)
@@ -286,7 +296,7 @@ def _aimed(i: int, w: str, role: str, toks: list, raw: list, hits: list, lexicon
     window = toks[max(0, i - 5) : i + 4]
     ahead = toks[max(0, i - 4) : i]
     roles = [next((lexicon.terms[w] for w in hits[j] if w in lexicon.terms), "") for j in range(max(0, i - 2), min(n, i + 3))]
-    if SELF & set(ahead[-3:]) and not AIMED & set(window):
+    if SELF & set(ahead) and not AIMED & set(window):
         return 0.2
     if ABOUT & set(toks[max(0, i - 4) : i + 6]) and not AIMED & set(window):
         return 0.3
