@@ -62,16 +62,14 @@ def fit_tails(peaks: DataFrame, tail: Tail) -> DataFrame:
     q = F.percentile_approx("x", [0.5, 0.75], F.lit(10_000))
     whole = own.agg(F.count("x").alias("m"), F.avg("x").alias("mean"), q.alias("q")).first()
     own = own.groupBy("sid").agg(F.max("size").alias("n"), F.count("x").alias("m"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("s"))
-    if not whole["m"]:
-        return own.select("sid", F.lit(None).cast("double").alias("cutoff"))
-    readings = own.agg(F.sum("n").alias("n")).first()["n"]
-    m, (mid, three) = whole["m"], whole["q"]
+    readings = own.agg(F.sum("n").alias("n")).first()["n"] or 1
+    m, (mid, three) = whole["m"], whole["q"] or (tail.scale * math.log(2), tail.scale * math.log(4))
     blend = lambda v, first: (m * v + FIRST * first) / (m + FIRST)
-    mean = blend(whole["mean"], tail.scale)
+    mean = blend(whole["mean"] or 0.0, tail.scale)
     shape = max(0.0, math.log2(max(three / mid - 1, 1.0)) * m / (m + SHAPE_PRIOR))
     scale = blend(mid, tail.scale * math.log(2)) * (shape / (2**shape - 1) if shape > 1e-6 else 1 / math.log(2))
     x = own.withColumn("scale", (F.col("s") + PRIOR * mean) / ((F.col("m") + PRIOR) * mean) * scale)
-    x = x.withColumn("far", (F.col("m") + PRIOR) / (F.col("n") + PRIOR * readings / m) / tail.risk)
+    x = x.withColumn("far", (F.col("m") + PRIOR) / (F.col("n") + PRIOR * readings / max(m, 1)) / tail.risk)
     reach = (F.pow("far", F.lit(shape)) - 1) / shape if shape > 1e-6 else F.log("far")
     return x.select("sid", (tail.threshold + F.col("scale") * reach).alias("cutoff"))
 
