@@ -161,6 +161,14 @@ def month_ends(cal: DataFrame) -> DataFrame:
     return cal.withColumn("is_month_end", F.col("date") == last)
 
 
+def date_range(cal: DataFrame, start: str | None = None, end: str | None = None, warmup: int = 1) -> DataFrame:
+    """Calendar dates from `start` to `end`, both included, that have `warmup` positions behind them, themselves included.
+    The calendar keeps its positions, so a start before the warm-up moves to its end."""
+    x = cal.where(F.col("date_idx") >= warmup - 1)
+    x = x if start is None else x.where(F.col("date") >= F.lit(start).cast("date"))
+    return x if end is None else x.where(F.col("date") <= F.lit(end).cast("date"))
+
+
 def stride(cal: DataFrame, n: int, warmup: int = 1) -> DataFrame:
     """Every n-th calendar date from the first that has `warmup` positions behind it, itself included."""
     return cal.where((F.col("date_idx") >= warmup - 1) & ((F.col("date_idx") - (warmup - 1)) % n == 0))

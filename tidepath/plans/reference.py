@@ -191,12 +191,6 @@ def neutralise_single(spark, d):
     return out(X.neutralise_single(x, "label", "log_mktcap"))
 
 
-@query()
-def neutralise_multi(spark, d):
-    x = _labels(spark, d).join(_exposures(spark, d), ["date", "stable_id"])
-    return out(X.neutralise(x, "label", [c for c in x.columns if c == "log_mktcap" or c.startswith("ind_")]))
-
-
 _CODES = ("b15", "c20", "d25", "e30", "f45", "g50", "h60")
 
 
@@ -339,15 +333,6 @@ def rank_ic_against_label(spark, d):
     return out(X.evaluate(_factor(spark, d), _labels(spark, d).withColumnRenamed("label", "ret"), None, 20, GROUPS)["ic"])
 
 
-@query()
-def rank_ic_neutralised(spark, d):
-    """The factor clipped, standardised and residualised against all exposures before it is scored."""
-    e = _exposures(spark, d)
-    x = X.winsorise(_factor(spark, d), "factor").join(e, ["date", "stable_id"])
-    f = X.neutralise(x, "factor", [c for c in e.columns if c not in ("date", "stable_id")]).withColumnRenamed("residual", "factor")
-    return out(X.evaluate(f, _forward(spark, d), None, H, GROUPS)["ic"])
-
-
 @query(f"WITH {_EXP}, z AS (SELECT date, stable_id, CASE WHEN label IS NOT NULL THEN {_Z('label', '3.0')} END AS z FROM lab) SELECT {_DT}, stable_id, round(z, 5) AS label FROM z WHERE z IS NOT NULL")
 def label_builder(spark, d):
     return out(X.labels(None, None, precomputed=_labels(spark, d)), 5)
