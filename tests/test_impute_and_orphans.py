@@ -91,7 +91,7 @@ def refs(spark, rows):
 
 
 def parents(spark, rows):
-    return spark.createDataFrame(rows, orphans.PARENTS)
+    return spark.createDataFrame(rows, "field string, key string, since date, until date")
 
 
 def keys(state):
@@ -124,3 +124,66 @@ def test_orphan_counts_are_rows(spark):
     s = orphans.advance(s, new_refs=new)
     got = {(r.table_name, r.field, r.month): (r.orphans, r.held) for r in orphans.snapshot(s).collect()}
     assert got["exposures", "date", "2021-01"] == (4, 3) and got["exposures", "stable_id", "(none)"] == (1, 1)
+
+
+def test_increments_equal_one_batch(spark, tmp_path):
+    """References first, parents and deletions late and in any order, step by step through a saved state."""
+    rng = np.random.default_rng(5)
+    day = lambda i: D0 + dt.timedelta(int(i))
+    named = [("t", "id", str(k), day(d)) for k, d in rng.integers(0, 40, (300, 2))]
+    there = [("id", str(k), day(rng.integers(0, 10)) if k % 2 else None, None) for k in range(0, 40, 3)]
+    gone = [("id", str(k), day(rng.integers(10, 30))) for k in range(0, 40, 4)]
+    ends = lambda rows: spark.createDataFrame(rows, "field string, key string, until date")
+    whole = orphans.advance(orphans.advance(orphans.empty_state(spark), refs(spark, named), parents(spark, there)), deletions=ends(gone))
+    steps = [(named[:100], [], []), (named[100:150], [], gone[:6]), ([], there[:7], gone[6:]), (named[150:], there[7:], [])]
+    state, folder = orphans.empty_state(spark), f"file://{tmp_path}/state"
+    for n, (r, p, g) in enumerate(steps):
+        state = orphans.save(orphans.advance(state, refs(spark, r) if r else None, parents(spark, p) if p else None, ends(g) if g else None), folder, n)
+    assert keys(state) == keys(whole) and {k for k, _ in keys(whole)} != set()
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v2", "v3"]
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    folder = f"file://{tmp_path}/state"
+    state = orphans.save(orphans.advance(orphans.empty_state(spark), refs(spark, [("t", "id", str(k), D0) for k in range(50)])), folder, 0)
+    new = refs(spark, [("t", "id", "7", D0 + dt.timedelta(1))])
+    touched = [r[0] for r in new.select(orphans.bucket()).collect()]
+    part = orphans.advance(orphans.load(spark, folder, 0, touched), new)
+    assert orphans.save(part, folder, 1, touched).refs.count() == 51
+    assert len(list((tmp_path / "state" / "v1" / "refs").glob("bucket=*"))) == 1
+
+
+def test_categories_are_filled_however_many(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(6000):
+        k = int(rng.integers(0, 200))
+        rows.append((float(k + rng.normal(0, 0.1)), f"c{k:03d}", None if i % 10 == 0 else f"c{k:03d}", f"g{k // 20}"))
+    df = spark.createDataFrame(rows, "x double, truth string, c string, g string")
+    got, _ = impute.impute(df, ["c"], ["x"], ["c", "g"], 200)
+    seen = got.where("c is null").select("truth", "c__filled").toPandas()
+    assert (seen["truth"] == seen["c__filled"]).mean() > 0.5 and got.where("c is not null and c__filled is not null").count() == 0
+    many = spark.range(impute.CATEGORIES + 5).selectExpr("cast(id as double) as x", "cast(id as string) as c")
+    try:
+        impute.impute(many, ["c"], ["x"], ["c"])
+        raise AssertionError
+    except ValueError as e:
+        assert "category" in str(e)
+
+
+def test_filled_sizes_are_no_worse_than_the_neighbours_mean(spark):
+    rng = np.random.default_rng(3)
+    rows, truth = [], {}
+    for s in range(30):
+        x = 20 + s / 10 + np.cumsum(rng.normal(0, 0.01, 80)) + rng.normal(0, 0.02, 80)
+        for i in range(80):
+            rows.append([D0 + dt.timedelta(i), s, float(x[i])])
+    for k in range(40, len(rows) - 40, 11):
+        if 0 < k % 80 < 79:
+            truth[rows[k][0], rows[k][1]] = (rows[k][2], (rows[k - 1][2] + rows[k + 1][2]) / 2)
+            rows[k][2] = None
+    ids = spark.createDataFrame([(s, None if s % 7 == 0 else "ab"[s % 2]) for s in range(30)], "stable_id long, industry_code string")
+    got = {(r.date, r.stable_id): r for r in impute.fill_exposures(spark.createDataFrame(rows, "date date, stable_id long, log_mktcap double"), ids).collect()}
+    err = np.mean([abs(got[k].log_mktcap_value - t) for k, (t, _) in truth.items()])
+    assert err < 1.02 * np.mean([abs(n - t) for t, n in truth.values()])
+    assert all(r.industry_value in ("a", "b") and r.industry_is_filled == (r.stable_id % 7 == 0) for r in got.values())

@@ -41,9 +41,11 @@ def test_matches_sql(spark, data, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", [n for n in CORE if n not in O and n != "p1_rates"])
+@pytest.mark.parametrize("name", [n for n in CORE if n not in O])
 def test_runs(spark, data, name):
-    assert Q[name](spark, data).columns
+    df = Q[name](spark, data)
+    assert df.columns and df.count() >= 0
+    df.write.format("noop").mode("overwrite").save()
 
 
 def test_entry(spark):

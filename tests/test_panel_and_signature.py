@@ -170,16 +170,25 @@ def test_store_config_and_cli(spark, tmp_path, data):
     root = str(tmp_path / "store")
     cli.build(spark, data, root, c)
     x = spark.read.parquet(f"{root}/features")
-    assert x.select(F.size("feature")).first()[0] == 60 == store.read_manifest(root)["features"]["daily"]
+    assert x.select(F.size("feature")).first()[0] == 60 == store.read_manifest(spark, root)["features"]["daily"]
     files = sorted(p.name for p in (tmp_path / "store").rglob("*.parquet"))
     cli.build(spark, data, root, c)  # nothing is built twice
     assert sorted(p.name for p in (tmp_path / "store").rglob("*.parquet")) == files
     with pytest.raises(ValueError):
         config.load(None, ("data.nothing=1",))
     with pytest.raises(FileNotFoundError):
-        store.read_manifest(str(tmp_path / "none"))
-    with pytest.raises(ValueError):
-        store.check_half(spark.createDataFrame([([1.0, -264216.0],)], "f array<double>"), "f")
+        store.read_manifest(spark, str(tmp_path / "none"))
+    wide = spark.createDataFrame([(D0, 1, [1.0, -264216.0])], "date date, stable_id long, feature array<double>")
+    with pytest.raises(Exception, match="beyond half precision"):
+        store.write_features(wide, root, "halves", "daily", half="feature")
+    fine = store.write_features(wide.withColumn("feature", F.array(F.lit(1.0), F.lit(None).cast("double"))), root, "halves", "daily", True, "feature")
+    assert dict(fine.dtypes)["feature"] == "array<float>" and fine.count() == 1
+    assert store.date_features(spark, root, "halves", "daily", str(D0)).count() == 1
+    with pytest.raises(FileNotFoundError):
+        store.date_features(spark, root, "halves", "daily", "1999-01-01")
+    factor = spark.createDataFrame([(D0, 2, 0.5), (D0, 1, 0.25), (D0.replace(year=2020), 1, 1.0)], "date date, stable_id long, factor double")
+    assert store.write_factor(factor, root + "/factor").columns == factor.columns and (tmp_path / "store" / "factor" / "year=2020").exists()
+    cli.main(["evaluate", data, root + "/factor", "--rebalance", "daily", "--neutralise", "--against-label", data + "/labels.parquet"])
 
 
 def test_orphan_stream(spark, tmp_path):

@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidepath import config as C
-from tidepath.operators import factor as X
 from tidepath.operators import panel as P
+from tidepath.operators import research as R
 from tidepath.operators import signature as S
-from tidepath.sources import store
+from tidepath.sources import periods, store
 from tidepath.sources.tables import read
 
 
@@ -26,9 +27,9 @@ def build(spark: SparkSession, root: str, to: str, c: C.Config, overwrite: bool
     w = P.normalised(P.filled(P.windows(d, c.data.daily_days).join(keep, ["date", "stable_id"], "left_semi")), c.data.price_zscore)
     stages = tuple(tuple(s) if isinstance(s, list) else s for s in c.signature.stages)
     out = w if kind == "windows" else S.window_features(w, P.FIELDS, depth=c.signature.depth, stages=stages, transform=c.signature.transform, window=c.signature.window, rescale=c.signature.rescale)
-    store.write_features(out, to, kind, "daily", overwrite)
+    store.write_features(out, to, kind, "daily", overwrite, None if kind == "windows" else "feature")
     width = 5 * c.data.daily_days if kind == "windows" else S.feature_count(5, c.data.daily_days, c.signature.depth, stages, c.signature.transform, c.signature.window)
-    store.write_manifest(to, **{kind: {"daily": width}, "days": c.data.daily_days})
+    store.write_manifest(spark, to, **{kind: {"daily": width}, "days": c.data.daily_days})
 
 
 def main(args: list[str] | None = None) -> None:
@@ -37,25 +38,32 @@ def main(args: list[str] | None = None) -> None:
     b = sub.add_parser("build")
     b.add_argument("data"), b.add_argument("store"), b.add_argument("--config"), b.add_argument("--set", action="append", default=[]), b.add_argument("--overwrite", action="store_true"), b.add_argument("--kind", default="features", choices=("features", "windows"))
     e = sub.add_parser("evaluate")
-    e.add_argument("data"), e.add_argument("factor"), e.add_argument("--horizon", type=int, default=20), e.add_argument("--groups", type=int, default=5), e.add_argument("--rebalance", default="monthly", choices=("monthly", "daily"))
+    e.add_argument("data"), e.add_argument("factor"), e.add_argument("--horizon", type=int, default=20), e.add_argument("--groups", type=int, default=5), e.add_argument("--rebalance", default="monthly", choices=("monthly", "daily")), e.add_argument("--against-label"), e.add_argument("--neutralise", action="store_true"), e.add_argument("--winsorise", type=float, default=3.0)
     i = sub.add_parser("info")
     i.add_argument("store")
     j = sub.add_parser("project")
     j.add_argument("--step", type=float, required=True), j.add_argument("--stride", type=int, default=1), j.add_argument("--epochs", type=int, default=8), j.add_argument("--fits", type=int, default=5)
     o = a.parse_args(args)
-    if o.what == "info":
-        return print(store.read_manifest(o.store))
     if o.what == "project":
         return print(f"{(700 + 233 * 0.35) / o.stride * o.step * o.epochs * o.fits / 3600:.2f} hours")
     spark = SparkSession.builder.getOrCreate()
+    if o.what == "info":
+        return print(store.read_manifest(spark, o.store))
     if o.what == "build":
         return build(spark, o.data, o.store, C.load(o.config, tuple(o.set)), o.overwrite, o.kind)
     p = P.panel(read(spark, o.data, "daily", ("date", "stable_id", *P.FIELDS)))
     cal = P.calendar(p)
     dates = P.month_ends(cal).where("is_month_end") if o.rebalance == "monthly" else None
-    got = X.evaluate(spark.read.parquet(o.factor).select("date", "stable_id", "factor"), P.forward_return(p, cal, o.horizon), dates, o.horizon, o.groups)
-    got["summary"].show(truncate=False)
-    got["by_year"].orderBy("year").show()
+    options: dict = {}
+    if o.against_label:  # a keyed table with one forward column
+        t = spark.read.parquet(o.against_label)
+        options["label"] = t.select("date", "stable_id", F.col(periods.regressors(t)[0]).cast("double").alias("ret"))
+    if o.neutralise:
+        t = read(spark, o.data, "exposures")
+        size, *dummies = periods.regressors(t)
+        options |= {"exposures": t.dropDuplicates(["date", "stable_id"]), "regressor": size, "dummies": dummies, "sigma": o.winsorise}
+    got = R.evaluate(spark.read.parquet(o.factor).select("date", "stable_id", "factor"), P.forward_return(p, cal, o.horizon), dates, o.horizon, o.groups, **options)
+    print(R.report(got))
 
 
 if __name__ == "__main__":

@@ -15,20 +15,25 @@ key; no side is broadcast by hand.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepath.sources import files
+
 REFS = "table_name string, field string, key string, date date, row_id string, status string"
 KNOWN = ["table_name", "field", "key", "date", "row_id"]
-PARENTS = "field string, key string, since date, until date"
+PARENTS = "field string, key string, since date, until date, known boolean"
+BUCKETS = 64  # parts of a saved state, by hash of the key
 
 
 @dataclass
 class OrphanState:
     """refs: REFS, unique by KNOWN; a NULL date is a row without one, row_id is never NULL. parents: PARENTS, unique by (field, key); a NULL
-    `since` or `until` means no limit. `until` is the first day the parent is gone."""
+    `since` or `until` means no limit. `until` is the first day the parent is gone. A row not `known` is a deletion that came
+    before its parent and waits for it."""
 
     refs: DataFrame
     parents: DataFrame
@@ -47,7 +52,7 @@ def references(rows: DataFrame, table: str, field: str, key: str, date: str, row
 
 def _judge(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """References with the status the parent index gives them now. Without a date only the key is looked for."""
-    p = parents.select(F.col("field").alias("p_field"), F.col("key").alias("p_key"), "since", "until")
+    p = parents.where("known").select(F.col("field").alias("p_field"), F.col("key").alias("p_key"), "since", "until")
     x = refs.join(p, (F.col("field") == F.col("p_field")) & (F.col("key") == F.col("p_key")), "left")
     covered = F.col("p_key").isNotNull() & (F.col("date").isNull() | (F.col("since").isNull() | (F.col("date") >= F.col("since"))) & (F.col("until").isNull() | (F.col("date") < F.col("until"))))
     return x.select(*KNOWN, F.when(covered, "held").otherwise("open").alias("status"))
@@ -56,18 +61,20 @@ def _judge(refs: DataFrame, parents: DataFrame) -> DataFrame:
 def advance(state: OrphanState, new_refs: DataFrame | None = None, new_parents: DataFrame | None = None, deletions: DataFrame | None = None) -> OrphanState:
     """The state after an increment. new_refs: as from references(), row_id may be missing. new_parents: PARENTS, which add keys or
     replace those of the index. deletions: field, key, until. Several rows of a key in one increment: the
-    earliest `since` and the latest `until` of parents, the earliest `until` of deletions. Deletions of unknown keys and
-    references seen before change nothing."""
+    earliest `since` and the latest `until` of parents, the earliest `until` of deletions. A deletion that comes before its
+    parent is kept and ends the parent when it arrives. References seen before change nothing."""
     parents, refs, touched = state.parents, state.refs, None
     if new_parents is not None:
         lo, hi = F.min(F.coalesce("since", F.lit("0001-01-01").cast("date"))), F.max(F.coalesce("until", F.lit("9999-12-31").cast("date")))
         add = new_parents.where("key is not null").groupBy("field", "key").agg(lo.alias("lo"), hi.alias("hi"))
         add = add.select("field", F.col("key").cast("string").alias("key"), F.when(F.col("lo") > "0001-01-01", F.col("lo")).alias("since"), F.when(F.col("hi") < "9999-12-31", F.col("hi")).alias("until"))
-        parents = parents.join(add.select("field", "key"), ["field", "key"], "left_anti").unionByName(add)
+        early = parents.where("not known").select("field", "key", F.col("until").alias("gone"))
+        arrived = add.join(early, ["field", "key"], "left").select("field", "key", "since", F.least("until", "gone").alias("until"), F.lit(True).alias("known"))
+        parents = parents.join(add.select("field", "key"), ["field", "key"], "left_anti").unionByName(arrived)
         touched = add.select("field", "key")
     if deletions is not None:
         gone = deletions.where("key is not null and until is not null").groupBy("field", F.col("key").cast("string").alias("key")).agg(F.min("until").alias("gone"))
-        parents = parents.join(gone, ["field", "key"], "left").select("field", "key", "since", F.least("until", "gone").alias("until"))
+        parents = parents.join(gone, ["field", "key"], "full").select("field", "key", "since", F.least("until", "gone").alias("until"), F.coalesce("known", F.lit(False)).alias("known"))
         touched = gone.select("field", "key") if touched is None else touched.unionByName(gone.select("field", "key")).distinct()
     if touched is not None:
         again = refs.join(touched, ["field", "key"], "left_semi")
@@ -92,17 +99,41 @@ def snapshot(state: OrphanState) -> DataFrame:
     return by.agg(F.count(F.when(F.col("status") == "open", 1)).alias("orphans"), F.count(F.when(F.col("status") == "held", 1)).alias("held"))
 
 
-def save(state: OrphanState, folder: str, version: int) -> OrphanState:
-    """Writes a version of the state to the shared folder and reads it back, which cuts its lineage."""
+def bucket() -> Column:
+    """The part of a saved state that a key belongs to."""
+    return F.pmod(F.xxhash64("field", "key"), F.lit(BUCKETS)).cast("int")
+
+
+def _index(spark: SparkSession, folder: str, version: int) -> dict[str, int]:
+    """Which version holds each bucket, as of a version; none before the first."""
+    return json.loads(files.read_text(spark, f"{folder}/v{version}/index.json")) if version >= 0 else {}
+
+
+def save(state: OrphanState, folder: str, version: int, touched: list[int] | None = None) -> OrphanState:
+    """Writes the buckets `touched` of a version (all of them by default), which the state must hold in whole, and points to the
+    version before for the rest. Versions that neither this one nor the one before points to are removed. Returns the version in whole as read back, which cuts its lineage."""
     spark = state.refs.sparkSession
+    touched = list(range(BUCKETS)) if touched is None else touched
     for name, df in (("refs", state.refs), ("parents", state.parents)):
-        df.write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")
+        df.withColumn("bucket", bucket()).where(F.col("bucket").isin(touched)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v{version}/{name}")
+    before = _index(spark, folder, version - 1) if version > 0 and files.exists(spark, f"{folder}/v{version - 1}/index.json") else {}
+    index = before | {str(b): version for b in touched}
+    files.write_text(spark, f"{folder}/v{version}/index.json", json.dumps(index))
+    kept = {f"v{v}" for v in {version, version - 1, *index.values(), *before.values()}}
+    for name in files.names(spark, folder):
+        if name.startswith("v") and name not in kept:
+            files.delete(spark, f"{folder}/{name}")
     return load(spark, folder, version)
 
 
-def load(spark: SparkSession, folder: str, version: int) -> OrphanState:
-    refs = spark.read.schema(REFS).parquet(f"{folder}/v{version}/refs").fillna("", ["row_id"])
-    return OrphanState(refs, spark.read.schema(PARENTS).parquet(f"{folder}/v{version}/parents"))
+def load(spark: SparkSession, folder: str, version: int, buckets: list[int] | None = None) -> OrphanState:
+    """A version of the state, or the buckets asked for."""
+    index = {b: v for b, v in _index(spark, folder, version).items() if buckets is None or int(b) in buckets}
+    state = []
+    for name, schema in (("refs", REFS), ("parents", PARENTS)):
+        paths = [p for b, v in index.items() if files.exists(spark, p := f"{folder}/v{v}/{name}/bucket={b}")]
+        state.append(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
+    return OrphanState(state[0].fillna("", ["row_id"]), state[1])
 
 
 def panel_orphans(exposures: DataFrame, labels: DataFrame, securities: DataFrame, trading_days: DataFrame) -> OrphanState:
