@@ -151,7 +151,11 @@ def test_weights_and_newey_west(spark):
 def test_networks(spark):
     n = N.mixer_network(8, 5)
     x = RNG.normal(size=(6, 8, 5))
-    assert N.mixer_forward(n, x).shape == (6,) and all(np.allclose(w, np.tril(w)) for w in n["time"].values())
+    assert N.mixer_forward(n, x).shape == (6,) and all(np.allclose(w, np.tril(w)) for pair in n["time"].values() for w in pair)
+    late = x.copy()
+    late[:, 6:] += 1.0  # a step sees itself and the past only
+    for scale, z in N.mixer_steps(n, late).items():
+        assert np.allclose(z[:, : 6 // scale], N.mixer_steps(n, x)[scale][:, : 6 // scale]) and not np.allclose(z, N.mixer_steps(n, x)[scale])
     net = N.factor_network({"a": 4, "b": 3}, hidden=4, heads=2)
     v = {"a": RNG.normal(size=(5, 4)), "b": RNG.normal(size=(5, 3))}
     order = np.array([3, 1, 0, 4, 2])

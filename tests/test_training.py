@@ -83,3 +83,18 @@ def test_rolling_ridge_is_out_of_sample(spark):
     spoiled = x.selectExpr("date", "stable_id", "if(year(date) = 2020, -label, label) as label", "a", "b")
     again = {(r.date, r.stable_id): r.factor for r in T.rolling_ridge(spoiled, cal, [2020], "a", 3, lookback=2).collect()}
     assert base == pytest.approx(again) and len(base) == 6 * 25
+
+
+def test_build_and_train_on_the_command_line(spark, tmp_path, data):
+    """Both branches stored, fitted and stitched; the log has a line per epoch. The test tables hold one year, so there is no
+    year to fit on before it."""
+    from tidepath import cli
+
+    root = str(tmp_path / "store")
+    small = ["--set", "data.daily_days=10", "--set", "signature.depth=2", "--set", "data.minute_days=2", "--set", "labels.horizon=2", "--set", "training.hidden=4", "--set", "training.heads=2"]
+    cli.main(["build", data, root, *small])
+    cli.main(["build-minute", data, root, *small])
+    with pytest.raises(ValueError):
+        cli.main(["train", data, root, str(tmp_path / "factor"), "--years", "2021", *small])
+    x = spark.read.parquet(root + "/features")
+    assert {r.branch for r in x.select("branch").distinct().collect()} == {"daily", "minute"}

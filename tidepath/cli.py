@@ -1,4 +1,4 @@
-"""python -m tidepath.cli build|evaluate|info|project: features of a data folder, scores of a factor file."""
+"""python -m tidepath.cli build|build-minute|train|evaluate|info|project: features of a data folder, yearly refits, scores of a factor file."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidepath import config as C
+from tidepath.operators import factor as X
+from tidepath.operators import minute as M
 from tidepath.operators import panel as P
 from tidepath.operators import research as R
 from tidepath.operators import signature as S
-from tidepath.sources import periods, store
-from tidepath.sources.tables import read
+from tidepath.operators import training as T
+from tidepath.operators.regrid import bar_of, bar_starts
+from tidepath.sources import files, periods, store
+from tidepath.sources.tables import read, written
 
 
 def build(spark: SparkSession, root: str, to: str, c: C.Config, overwrite: bool = False, kind: str = "features") -> None:
@@ -29,7 +33,35 @@ def build(spark: SparkSession, root: str, to: str, c: C.Config, overwrite: bool
     out = w if kind == "windows" else S.window_features(w, P.FIELDS, depth=c.signature.depth, stages=stages, transform=c.signature.transform, window=c.signature.window, rescale=c.signature.rescale)
     store.write_features(out, to, kind, "daily", overwrite, None if kind == "windows" else "feature")
     width = 5 * c.data.daily_days if kind == "windows" else S.feature_count(5, c.data.daily_days, c.signature.depth, stages, c.signature.transform, c.signature.window)
-    store.write_manifest(spark, to, **{kind: {"daily": width}, "days": c.data.daily_days})
+    there = store.read_manifest(spark, to).get(kind, {}) if files.exists(spark, f"{to}/manifest.json") else {}
+    store.write_manifest(spark, to, **{kind: there | {"daily": width}, "days": c.data.daily_days})
+
+
+def build_minute(spark: SparkSession, root: str, to: str, c: C.Config, overwrite: bool = False) -> None:
+    """Minute-branch features of a data folder into a store; dates already there are skipped when written."""
+    bars = P.bars(read(spark, root, "intraday", ("date", "time", "stable_id", *P.FIELDS)), bar_of(F.col("time")))
+    out = M.minute_features(bars, P.calendar(bars), bar_starts(), c.data.minute_days, c.signature.depth)
+    store.write_features(out, to, "features", "minute", overwrite, "feature")
+    store.write_manifest(spark, to, features=store.read_manifest(spark, to).get("features", {}) | {"minute": S.width(M.CHANNELS, c.signature.depth)})
+
+
+def train(spark: SparkSession, root: str, features: str, to: str, c: C.Config, years: list[int]) -> None:
+    """Yearly refits on a store's branches, names and dates that all of them hold, and the stitched factor."""
+    p = P.panel(read(spark, root, "daily", ("date", "stable_id", *P.FIELDS)))
+    cal = P.calendar(p)
+    rows = X.labels(p, cal, c.labels.horizon, clip=c.labels.clip)
+    branches = sorted(store.read_manifest(spark, features)["features"])
+    stored = None
+    for b in branches:
+        x = spark.read.parquet(f"{features}/features").where(F.col("branch") == b).select("date", "stable_id", F.col("feature").cast("array<double>").alias(b))
+        stored = x if stored is None else stored.join(x, ["date", "stable_id"])
+    rows = written(stored.join(rows, ["date", "stable_id"], "left").select("date", "stable_id", "label", *branches))
+    t = c.training
+    plan = T.Plan(epochs=t.epochs, patience=t.patience, rate=t.rate, hidden=t.hidden, heads=t.heads, seed=t.seed)
+    factor, fits = T.rolling(rows, cal, years, {b: b for b in branches}, plan, t.lookback_years, t.validation_years)
+    store.write_factor(factor, to)
+    for year, f in fits.items():
+        files.write_text(spark, f"{to}-log/{year}.csv", "epoch,loss,rank_ic,icir\n" + "".join(f"{e},{a:.6f},{ic:.6f},{r:.6f}\n" for e, a, ic, r in f.history))
 
 
 def main(args: list[str] | None = None) -> None:
@@ -39,6 +71,10 @@ def main(args: list[str] | None = None) -> None:
     b.add_argument("data"), b.add_argument("store"), b.add_argument("--config"), b.add_argument("--set", action="append", default=[]), b.add_argument("--overwrite", action="store_true"), b.add_argument("--kind", default="features", choices=("features", "windows"))
     e = sub.add_parser("evaluate")
     e.add_argument("data"), e.add_argument("factor"), e.add_argument("--horizon", type=int, default=20), e.add_argument("--groups", type=int, default=5), e.add_argument("--rebalance", default="monthly", choices=("monthly", "daily")), e.add_argument("--against-label"), e.add_argument("--neutralise", action="store_true"), e.add_argument("--winsorise", type=float, default=3.0)
+    m = sub.add_parser("build-minute")
+    m.add_argument("data"), m.add_argument("store"), m.add_argument("--config"), m.add_argument("--set", action="append", default=[]), m.add_argument("--overwrite", action="store_true")
+    t = sub.add_parser("train")
+    t.add_argument("data"), t.add_argument("store"), t.add_argument("factor"), t.add_argument("--years", type=int, nargs="+", required=True), t.add_argument("--config"), t.add_argument("--set", action="append", default=[])
     i = sub.add_parser("info")
     i.add_argument("store")
     j = sub.add_parser("project")
@@ -49,6 +85,10 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     if o.what == "info":
         return print(store.read_manifest(spark, o.store))
+    if o.what == "build-minute":
+        return build_minute(spark, o.data, o.store, C.load(o.config, tuple(o.set)), o.overwrite)
+    if o.what == "train":
+        return train(spark, o.data, o.store, o.factor, C.load(o.config, tuple(o.set)), o.years)
     if o.what == "build":
         return build(spark, o.data, o.store, C.load(o.config, tuple(o.set)), o.overwrite, o.kind)
     p = P.panel(read(spark, o.data, "daily", ("date", "stable_id", *P.FIELDS)))

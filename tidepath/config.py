@@ -37,6 +37,9 @@ class Training:
     lookback_years: int = 4
     validation_years: int = 1
     day_stride: int = 1
+    epochs: int = 8
+    patience: int = 3
+    rate: float = 0.01
     hidden: int = 128
     heads: int = 4
     seed: int = 42

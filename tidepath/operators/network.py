@@ -1,4 +1,4 @@
-"""Learned operators over one date's cross-section: networks in NumPy, a ridge trainer (no yearly refits yet).
+"""Learned operators over one date's cross-section: networks in NumPy, a ridge fit. Training and yearly refits are in `training`.
 
 A date's names are mixed by attention, so a date is one group (a few thousand names); dates are independent.
 """
@@ -62,24 +62,31 @@ def forward(net: dict, inputs: dict[str, np.ndarray]) -> np.ndarray:
     return apply(net["head"], x)[:, 0]
 
 
-def mixer_network(steps: int, channels: int, market: int = 8, seed: int = 0) -> dict:
-    """Weights of the time-mixing network on raw windows: channels, then causal time mixing at scales 1, 2 and 4, then
-    pooling of the names through a few market states."""
+def mixer_network(steps: int, channels: int, market: int = 8, width: int = 16, seed: int = 0) -> dict:
+    """Weights of the time-mixing network on raw windows: channels, then two causal layers of time mixing at scales 1, 2 and 4,
+    all steps projected to `width` numbers a name, then pooling of the names through a few market states."""
     rng = np.random.default_rng(seed)
     scales = [s for s in (1, 2, 4) if steps // s >= 2]
-    width = channels * len(scales)
-    return {"channel": [linear(rng, channels, channels) for _ in range(2)], "time": {s: np.tril(rng.normal(0, 1 / math.sqrt(steps), (steps // s, steps // s))) for s in scales}, "to_market": linear(rng, width, market), "from_market": linear(rng, width, width), "head": linear(rng, 2 * width, 1)}
+    lower = lambda n: np.tril(rng.normal(0, 1 / math.sqrt(n), (n, n)))
+    time = {s: (lower(steps // s), lower(steps // s)) for s in scales}
+    return {"channel": [linear(rng, channels, channels) for _ in range(2)], "time": time, "project": linear(rng, channels * sum(steps // s for s in scales), width), "to_market": linear(rng, width, market), "from_market": linear(rng, width, width), "head": linear(rng, 2 * width, 1)}
 
 
-def mixer_forward(net: dict, x: np.ndarray) -> np.ndarray:
-    """x (names, steps, channels). Time mixing is lower triangular: a step sees itself and the past only."""
+def mixer_steps(net: dict, x: np.ndarray) -> dict[int, np.ndarray]:
+    """The mixed steps (names, steps // scale, channels) of each scale for x (names, steps, channels). Coarser scales are means of
+    neighbouring steps, the last ones complete; both layers are lower triangular, so a step sees itself and the past only."""
     y = x + apply(net["channel"][1], gelu(apply(net["channel"][0], layer_norm(x))))
-    last = []
-    for s, w in net["time"].items():
+    out = {}
+    for s, (first, second) in net["time"].items():
         n = y.shape[1] // s
         z = y[:, y.shape[1] - n * s :].reshape(len(y), n, s, -1).mean(2)
-        last.append((z + gelu(np.einsum("ts,nsc->ntc", w, layer_norm(z))))[:, -1])
-    own = np.concatenate(last, axis=1)
+        mixed = gelu(np.einsum("ts,nsc->ntc", first, layer_norm(z)))
+        out[s] = z + np.einsum("ts,nsc->ntc", second, mixed)
+    return out
+
+
+def mixer_forward(net: dict, x: np.ndarray) -> np.ndarray:
+    own = apply(net["project"], np.concatenate([z.reshape(len(x), -1) for z in mixer_steps(net, x).values()], axis=1))
     state = softmax(apply(net["to_market"], own).T) @ own  # market states, each a weighted mean of the names
     back = softmax(own @ state.T / math.sqrt(own.shape[1])) @ apply(net["from_market"], state)
     return apply(net["head"], np.concatenate([own, back], axis=1))[:, 0]

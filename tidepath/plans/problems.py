@@ -91,3 +91,9 @@ SQL = {
     "p5_found": " UNION ALL ".join(f"SELECT '{t}' AS table_name, 'stable_id' AS field, x.stable_id, strftime(x.date, '%Y-%m-%d') AS date FROM ({_refs(t)}) x LEFT JOIN securities s ON x.stable_id = s.stable_id WHERE x.stable_id IS NOT NULL AND NOT coalesce({_COVERED}, false)" for t in ("exposures", "labels"))
     + f" UNION ALL SELECT 'exposures' AS table_name, 'date' AS field, x.stable_id, strftime(x.date, '%Y-%m-%d') AS date FROM ({_refs('exposures')}) x ANTI JOIN trading_days t ON x.date = t.date WHERE x.stable_id IS NOT NULL",
 }
+
+_MONTH = "coalesce(strftime(date, '%Y-%m'), '(none)') AS month"
+_STATES = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, 'stable_id' AS field, {_MONTH}, NOT CASE WHEN x.date IS NULL THEN s.stable_id IS NOT NULL ELSE coalesce({_COVERED}, false) END AS open FROM (SELECT DISTINCT stable_id, date FROM {t} WHERE stable_id IS NOT NULL) x LEFT JOIN securities s ON x.stable_id = s.stable_id" for t in ("exposures", "labels")
+)
+SQL["p5_counts"] = f"WITH st AS ({_STATES} UNION ALL SELECT 'exposures', 'date', {_MONTH}, t.d IS NULL FROM (SELECT DISTINCT stable_id, date FROM exposures WHERE date IS NOT NULL) x LEFT JOIN (SELECT DISTINCT date AS d FROM trading_days) t ON x.date = t.d) SELECT table_name, field, month, count(*) FILTER (open) AS orphans, count(*) FILTER (NOT open) AS held FROM st GROUP BY 1, 2, 3"

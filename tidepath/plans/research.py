@@ -13,10 +13,11 @@ from tidepath.operators import network as N
 from tidepath.operators import panel as P
 from tidepath.operators import research as R
 from tidepath.operators import signature as S
+from tidepath.operators import training as T
 from tidepath.operators.regrid import bar_of, bar_starts
 from tidepath.plans import reference as Q
 from tidepath.sources import periods
-from tidepath.sources.tables import read
+from tidepath.sources.tables import read, written
 
 H, GROUPS, DAYS = Q.H, Q.GROUPS, 3
 QUERIES: dict = {}
@@ -178,3 +179,32 @@ def two_branch_factor(spark, d):
     both = daily.join(_minute_features(spark, d, 3).withColumnRenamed("feature", "minute"), ["date", "stable_id"])
     widths = {"daily": S.feature_count(5, Q.K, 2, Q._PAIRS), "minute": S.width(M.CHANNELS, 3)}
     return Q.out(N.predict(both, N.factor_network(widths), {"daily": "daily", "minute": "minute"}))
+
+
+# --- yearly refits, on a panel of monthly supplier prices over several years
+_YEARS, _RIDGE = (1997, 1998), 5.0
+_MP = "px AS (SELECT date_trunc('month', l_shipdate::DATE)::DATE AS date, l_suppkey AS stable_id, sum(l_extendedprice::DOUBLE) / sum(l_quantity::DOUBLE) AS close FROM lineitem GROUP BY 1, 2), mc AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM px)), pi AS (SELECT px.*, i FROM px JOIN mc USING (date)), fx AS (SELECT a.date, a.stable_id, a.close / b.close - 1 AS f, c.close / a.close - 1 AS r FROM pi a LEFT JOIN pi b ON a.stable_id = b.stable_id AND b.i = a.i - 1 LEFT JOIN pi c ON a.stable_id = c.stable_id AND c.i = a.i + 1), lb AS (SELECT date, stable_id, f, CASE WHEN r IS NULL THEN NULL WHEN count(r) OVER w >= 2 THEN least(greatest((r - avg(r) OVER w) / greatest(stddev_pop(r) OVER w, 1e-8), -3), 3) END AS y FROM fx WINDOW w AS (PARTITION BY date))"
+
+
+def _monthly(spark, d):
+    x = read(spark, d, "lineitem", ("l_shipdate", "l_suppkey", "l_extendedprice", "l_quantity"))
+    by = x.groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("date"), F.col("l_suppkey").cast("long").alias("stable_id"))
+    p = by.agg((F.sum(F.col("l_extendedprice").cast("double")) / F.sum(F.col("l_quantity").cast("double"))).alias("close"))
+    cal = P.calendar(p)
+    label = X.standardise(P.forward_return(p, cal, 1).withColumnRenamed("ret", "label"), "label", clip=3.0)
+    rows = P.trailing_return(p, cal, 1).join(label, ["date", "stable_id"], "left")
+    return rows.select("date", "stable_id", "label", F.array("factor").alias("feature")), cal
+
+
+@query("WITH " + _MP + ", tr(yr, y, f) AS (" + " UNION ALL ".join(f"SELECT {v}, y, f FROM lb WHERE f IS NOT NULL AND y IS NOT NULL AND year(date) BETWEEN {v - 3} AND {v - 1} AND NOT (month(date) = 12 AND year(date) IN ({v - 2}, {v - 1}))" for v in _YEARS) + f"), sm AS (SELECT yr, sum(f * f) + {_RIDGE} AS xx, sum(f) AS x, count(*) + {_RIDGE} * 1e-9 AS n, sum(f * y) AS xy, sum(y) AS y FROM tr GROUP BY 1), co AS (SELECT yr, (xy * n - x * y) / (xx * n - x * x) AS b, (xx * y - x * xy) / (xx * n - x * x) AS a FROM sm) SELECT {_DT}, stable_id, round(a + b * f, 5) AS factor FROM lb JOIN co ON year(date) = yr WHERE f IS NOT NULL")
+def rolling_ridge_factor(spark, d):
+    """A ridge fit for each year on the years before it, predicting that year."""
+    rows, cal = _monthly(spark, d)
+    return Q.out(T.rolling_ridge(rows, cal, list(_YEARS), "feature", 1, _RIDGE, 3, 1), 5)
+
+
+@query()
+def rolling_network_factor(spark, d):
+    """The network trained by distributed gradients for each year on the years before it, predicting that year."""
+    rows, cal = _monthly(spark, d)
+    return Q.out(T.rolling(written(rows), cal, list(_YEARS), {"daily": "feature"}, T.Plan(epochs=3, hidden=4), 3, 1)[0])
