@@ -162,3 +162,9 @@ def test_the_automaton_finds_what_exact_words_miss():
 
 def test_no_whole_sentences_in_the_lexicon():
     assert max(len(p) for _, p in abuse.Lexicon().phrases) <= 3
+
+
+def test_words_however_long():
+    lexicon = abuse.Lexicon()
+    assert found_of(["you are such an idi" + "o" * 60 + "t", "you are such an iiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiidiot"], lexicon).__len__() == 2
+    assert not found_of(["a" * 500 + "idiot", "x" * 100], lexicon)

@@ -181,6 +181,7 @@ class Lexicon:
         self.alone = {p[0] for _, p in self.phrases if len(p) == 1}
         self.plain = set(PLAIN)
         self.trie = Trie(words | set(self.terms))
+        self.longest = max(map(len, words | set(self.terms)))
         self.reach = [set(), *({c for w in words | set(self.terms) for c in _cuts(w, k)} for k in (1, 2))]
         self.first: dict[str, list] = {}
         for kind, p in self.phrases:
@@ -193,7 +194,7 @@ class Lexicon:
             forms |= {re.sub(r"(.)\1{2,}", r"\1", token), re.sub(r"(.)\1{2,}", r"\1\1", token)}
         if token[0] == "*" == token[-1]:  # emphasis
             forms |= {f.strip("*") for f in forms}
-        forms = {f for f in forms if f.strip("*") and len(f) <= 40}
+        forms = {f for f in forms if f.strip("*")}
         if re.search(r"[0-9$@!]", token) and re.search(r"[^\W\d_]", token):
             forms |= {f.translate(LEET) for f in list(forms)} | {f.replace("1", "l").translate(LEET) for f in list(forms)}
         found: set[str] = set()
@@ -206,6 +207,8 @@ class Lexicon:
             stars = f.count("*")
             letters = len(f) - stars
             most = 0 if letters < (5 if stars else 4) else 1 if len(f) < 10 or stars else 2
+            if len(f) > self.longest + most:
+                continue  # longer than any lexicon word by more edits than allowed
             if not stars and (not most or self.reach[most].isdisjoint(_cuts(f, most))):
                 continue  # no lexicon word is so near
             for w, d in self.trie.walk(f, most, head=False):
