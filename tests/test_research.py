@@ -119,3 +119,13 @@ def test_date_range_waits_for_the_warm_up(spark):
     cal = spark.createDataFrame([(D0 + dt.timedelta(i), i) for i in range(10)], "date date, date_idx int")
     assert [r.date_idx for r in P.date_range(cal, "2021-01-01", "2021-01-08", 3).orderBy("date").collect()] == [2, 3, 4]
     assert P.date_range(cal).count() == 10
+
+
+def test_codes_outside_the_levels_and_labels_alone(spark):
+    caps = spark.createDataFrame([(D0, 1, 2.0), (D0, 2, 3.0), (D0, 3, 4.0)], "date date, stable_id long, cap double")
+    codes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "z")], "stable_id long, code string")
+    got = {r.stable_id: r.ind_b for r in P.exposures_one_hot(caps, codes, levels=("a", "b")).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: None}
+    p = spark.createDataFrame([(D0 + dt.timedelta(i), s, float(s + i * s)) for i in range(3) for s in (1, 2, 3)], "date date, stable_id long, close double")
+    with pytest.warns(UserWarning, match="not neutralised"):
+        assert X.labels(p, P.calendar(p), 1).count() == 6

@@ -6,6 +6,7 @@ many-regressor fit is the one operator that brings a date's names to one task (a
 
 from __future__ import annotations
 
+import warnings
 from statistics import NormalDist
 
 import numpy as np
@@ -166,8 +167,8 @@ def newey_west(series: DataFrame, value: str, lag: int = 20) -> DataFrame:
     """(n, mean, se, t) of a series(date, value) with Bartlett weights. A row per date: its own few thousand rows
     are numbered in one window and joined to themselves by the lags."""
     x = series.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("i"))
-    stats = x.agg(F.avg("v").alias("m"), F.count("v").alias("n"))
-    c = x.withColumn("k", F.lit(0)).join(stats.withColumn("k", F.lit(0)), "k").select("i", (F.col("v") - F.col("m")).alias("c"), "m", "n")
+    stats = x.agg(F.struct(F.avg("v").alias("m"), F.count("v").alias("n")).alias("s")).scalar()
+    c = x.select("i", "v", stats.alias("s")).select("i", (F.col("v") - F.col("s.m")).alias("c"), F.col("s.m").alias("m"), F.col("s.n").alias("n"))
     later = c.select(F.explode(F.sequence(F.lit(0), F.lit(lag))).alias("lag"), "i", F.col("c").alias("c2")).select("lag", (F.col("i") - F.col("lag")).alias("i"), "c2")
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (lag + 1)))
     g = c.join(later, "i").agg(F.sum(weight * F.col("c") * F.col("c2") / F.col("n")).alias("g"), F.max("m").alias("mean"), F.max("n").alias("n"))
@@ -216,7 +217,8 @@ def evaluate(factor: DataFrame, forward: DataFrame, dates: DataFrame | None = No
 
 def labels(p: DataFrame, cal: DataFrame, horizon: int = 20, precomputed: DataFrame | None = None, exposures: DataFrame | None = None, regressors: list[str] | None = None, clip: float = 3.0) -> DataFrame:
     """(date, stable_id, label): a precomputed forward column standardised as it is, or the forward return,
-    neutralised where exposures are given, then standardised; limited to +-clip. Both at once is an error."""
+    neutralised where exposures are given, then standardised; limited to +-clip. Both at once is an error; neither gives
+    labels that are standardised only, with a warning."""
     from tidepath.operators.panel import forward_return
 
     if precomputed is not None and exposures is not None:
@@ -225,7 +227,9 @@ def labels(p: DataFrame, cal: DataFrame, horizon: int = 20, precomputed: DataFra
         x = precomputed.select("date", "stable_id", "label")
     else:
         x = forward_return(p, cal, horizon).withColumnRenamed("ret", "label")
-        if exposures is not None:
+        if exposures is None:
+            warnings.warn("labels are standardised but not neutralised: no exposures are given", stacklevel=2)
+        else:
             if not regressors:
                 raise ValueError("regressors are required with exposures")
             x = neutralise(x.join(exposures, ["date", "stable_id"]), "label", regressors).withColumnRenamed("residual", "label")

@@ -35,9 +35,8 @@ def indexed(rows: DataFrame, cal: DataFrame) -> DataFrame:
 def dense(rows: DataFrame, cal: DataFrame) -> DataFrame:
     """rows with date_idx and a row for each source on every calendar date; missing values are NULL. Dates are
     exploded from a sequence of positions: no product of tables."""
-    last = rows.groupBy("stable_id").agg(F.lit(0).alias("first"))
-    n = cal.agg(F.max("date_idx").alias("n")).select("n", F.lit(0).alias("first"))
-    keys = last.join(n, "first").select("stable_id", F.explode(F.sequence(F.lit(0), "n")).alias("date_idx")).join(cal, "date_idx")
+    last = cal.agg(F.max("date_idx").alias("n")).scalar()
+    keys = rows.select("stable_id").distinct().select("stable_id", F.explode(F.sequence(F.lit(0), last)).alias("date_idx")).join(cal, "date_idx")
     return keys.join(rows, ["date", "stable_id"], "left")
 
 
@@ -205,7 +204,8 @@ def bars(intraday: DataFrame, bar: Column) -> DataFrame:
 
 def exposures_one_hot(rows: DataFrame, categories: DataFrame, prefix: str = "ind_", levels: tuple[str, ...] | None = None) -> DataFrame:
     """rows(date, stable_id, cap) joined to categories(stable_id, code): log of positive caps and one 0/1 column for
-    each code but the first in sorted order. The codes are `levels`, or those found; their number bounds the columns."""
+    each code but the first in sorted order. The codes are `levels`, or those found; their number bounds the columns. Rows of a
+    code that `levels` lacks have NULL columns, so they are not taken for the dropped class."""
     codes = sorted(levels) if levels else [r[0] for r in categories.where("code is not null").select("code").distinct().orderBy("code").collect()]
     x = rows.where("cap > 0").join(categories.where("code is not null"), "stable_id")
-    return x.select("date", "stable_id", F.log("cap").alias("log_cap"), *[F.when(F.col("code") == c, 1.0).otherwise(0.0).alias(f"{prefix}{c}") for c in codes[1:]])
+    return x.select("date", "stable_id", F.log("cap").alias("log_cap"), *[F.when(F.col("code").isin(codes), (F.col("code") == c).cast("double")).alias(f"{prefix}{c}") for c in codes[1:]])
