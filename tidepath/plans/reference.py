@@ -432,7 +432,14 @@ def _features(spark, d, depth):
     return S.window_features(P.normalised(P.filled(w)), P.FIELDS, depth=depth, stages=_PAIRS)
 
 
-@query()
+_JOINT = "m AS (SELECT date, stable_id, avg(v) AS m, stddev_pop(v) AS s FROM (" + " UNION ALL ".join(f"SELECT date, stable_id, {f} AS v FROM sc" for f in P.PRICES) + ") GROUP BY 1, 2)"
+_NZ = f"nz AS (SELECT sc.date, sc.stable_id, step, step / {K - 1}.0::DOUBLE AS t, {', '.join(f'({f} - m) / greatest(s, 1e-8) AS {f}' for f in P.PRICES)}, (volume - avg(volume) OVER w) / greatest(stddev_pop(volume) OVER w, 1e-8) AS volume FROM sc JOIN m ON sc.date = m.date AND sc.stable_id = m.stable_id WINDOW w AS (PARTITION BY sc.date, sc.stable_id)), lg AS (SELECT *, {', '.join(f'lag({c}) OVER w AS p_{c}' for c in ('t', *P.FIELDS))} FROM nz WINDOW w AS (PARTITION BY date, stable_id ORDER BY step))"
+_TWOS = [(a, b) for i, a in enumerate(P.FIELDS) for b in P.FIELDS[i + 1 :]]
+_AREAS = f"ar AS (SELECT date, stable_id, {', '.join(f'max({f}) FILTER (step = {K - 1}) AS x_{f}, sum(p_t * ({f} - p_{f}) - p_{f} * (t - p_t)) AS t_{f}' for f in P.FIELDS)}, {', '.join(f'sum(p_{a} * ({b} - p_{b}) - p_{b} * ({a} - p_{a})) AS a_{a}_{b}' for a, b in _TWOS)} FROM lg WHERE p_t IS NOT NULL GROUP BY 1, 2)"
+_VALID = f"va AS (SELECT date, stable_id FROM (SELECT date, date_idx, stable_id, close, count(close) OVER (PARTITION BY stable_id ORDER BY date_idx ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW) / {K}.0 AS present FROM dense) WHERE date_idx >= {K - 1} AND present >= 0.5 AND close IS NOT NULL)"
+
+
+@query(f"WITH {_SC}, {_JOINT}, {_NZ}, {_AREAS}, {_VALID} SELECT strftime(ar.date, '%Y-%m-%d') AS date, ar.stable_id, 60 AS width, round(10 + 4 * ({' + '.join(f'x_{f} * x_{f} + t_{f} * t_{f}' for f in P.FIELDS)}) + {' + '.join(f'a_{a}_{b} * a_{a}_{b}' for a, b in _TWOS)}, 3) AS energy FROM ar JOIN va ON ar.date = va.date AND ar.stable_id = va.stable_id")
 def coordinate_pairs_features(spark, d):
     """Width and size of depth-2 features of all channel pairs."""
     x = _features(spark, d, 2)
