@@ -97,3 +97,14 @@ _STATES = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, 'stable_id' AS field, {_MONTH}, NOT CASE WHEN x.date IS NULL THEN s.stable_id IS NOT NULL ELSE coalesce({_COVERED}, false) END AS open FROM (SELECT DISTINCT stable_id, date FROM {t} WHERE stable_id IS NOT NULL) x LEFT JOIN securities s ON x.stable_id = s.stable_id" for t in ("exposures", "labels")
 )
 SQL["p5_counts"] = f"WITH st AS ({_STATES} UNION ALL SELECT 'exposures', 'date', {_MONTH}, t.d IS NULL FROM (SELECT DISTINCT stable_id, date FROM exposures WHERE date IS NOT NULL) x LEFT JOIN (SELECT DISTINCT date AS d FROM trading_days) t ON x.date = t.d) SELECT table_name, field, month, count(*) FILTER (open) AS orphans, count(*) FILTER (NOT open) AS held FROM st GROUP BY 1, 2, 3"
+
+_POS = lambda c: f"CASE WHEN isfinite({c}) AND {c} > 0 THEN {c}::DOUBLE END"
+SQL["p3_found"] = (
+    f"WITH lv AS (SELECT stable_id, quantile_disc(c, 0.5) AS level FROM (SELECT stable_id, date, max({_POS('close')}) AS c FROM daily WHERE stable_id IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2) GROUP BY 1), "
+    f"d AS (SELECT x.stable_id, x.date, x.close, {_POS('x.open')} AS o, {_POS('x.high')} AS h, {_POS('x.low')} AS l, level FROM daily x LEFT JOIN lv USING (stable_id) WHERE x.stable_id IS NOT NULL AND x.date IS NOT NULL), "
+    f"op AS (SELECT 'daily' AS table_name, 'open' AS field, stable_id, date FROM d WHERE o IS NULL OR coalesce(CASE WHEN h IS NOT NULL OR l IS NOT NULL THEN o > coalesce(h, l) * {impute.FAR} OR o < coalesce(l, h) / {impute.FAR} ELSE o > level * {impute.FAR_LEVEL} OR o < level / {impute.FAR_LEVEL} END, false)), "
+    "cl AS (SELECT 'daily', 'close', stable_id, date FROM d WHERE close IS NULL OR isnan(close)), "
+    "e AS (SELECT stable_id, date, CASE WHEN isfinite(log_mktcap) THEN log_mktcap END AS v FROM exposures), q AS (SELECT quantile_disc(v, 0.05) AS a, quantile_disc(v, 0.95) AS b FROM e), "
+    "ex AS (SELECT 'exposures', 'log_mktcap', stable_id, date FROM e, q WHERE stable_id IS NOT NULL AND date IS NOT NULL AND (v IS NULL OR v < a - 3 * (b - a) - 1 OR v > b + 3 * (b - a) + 1)) "
+    "SELECT DISTINCT table_name, field, stable_id, strftime(date, '%Y-%m-%d') AS date FROM (SELECT * FROM op UNION ALL SELECT * FROM cl UNION ALL SELECT * FROM ex)"
+)
