@@ -95,12 +95,20 @@ PATTERNS = [(k, re.compile(r"(?<![\w'])(?:" + x + r")(?![\w'])")) for k, x in (
     ("insult", r"(?:your|his|her) (?:own )?(?:mother|mum|mom|parents|father|dad) (?:[\w'-]+ ){0,3}?(?:cry|cries|cried|ashamed|regrets?|regretted|weeps?|embarrassed|disappointed|should have)|son of a (?:bitch|whore)|shut the (?:[\w'-]+ )?up|you(?:'re| are) (?:by far )?the (?:worst of (?:them|all|the lot)|dumbest|stupidest|most (?:useless|stupid|incompetent|pathetic|worthless))|rien dans la tête|nichts im kopf"),
 )]
 #: Words of which a message must hold one before the patterns are tried.
-TRIGGER = set("""kill murder hurt stab strangle choke maim cripple bury slap gut drown beat skin punch destroy shoot hang break smash crack cut slit slash burn bash rip knock kick cave crush bust wring tear hope wish pray die dies rot suffer dead bleed
-deserve deserves yourself life without live sleep park kids children family walk breathe wake sorry hole cave jungle jump vermin animals apes rats pigs dogs parasites cockroaches maggots lice monkeys pest pests savages filth scum trash garbage subhuman subhumans plague disease cancer virus degenerates criminals thieves liars
-terrorists rapists inferior dirty filthy lazy stupid disgusting driven deported exterminated gassed shot locked wiped put castrated sterilised sterilized hanged burned burnt expelled caged drowned rounded whipped beaten kicked thrown belong rights crawled came country hate despise stand trust hire rid sick
-fuck fucking lick licking suck sucking undress undressing grope groping spank spanking fondle fondling bend breasts breast tits boobs nipple nipples thigh thighs pussy cock dick ass arse butt clit crotch body cunt panties bra knickers nude nudes naked clothes skirt blouse dress underwear shirt undressed topless bent knees
-bed moaning hard horny bullet knife blade axe fist boot gun brick cry cries cried ashamed regret regrets weeps embarrassed disappointed bitch whore worst dumbest stupidest dress breathe feed tie function sense read count spell legs naked lap desk short tight tongue steal stink smell lie breed cheat cages cage dead by behind waiting following kind
-maul fresse klappe schnauze um dir dich euch te vous gueule les sont son sind gehören gehört partir matarte romperte ojalá cara piensa sirve vale bleed beg scream curse stain only wet sucked licked stroked swallowed penis vagina erection balls disgrace embarrassment failure nobody joke waste excuse parasite likes wants loves needs miss dumb thick dim dense useless brain brains iq intelligence wit disgust crawl shut smile grin head pay sleep""".split())
+TRIGGER = set("""kill murder hurt stab strangle choke maim cripple bury slap gut drown beat skin punch destroy shoot hang break smash crack cut slit slash burn bash rip knock kick cave crush bust wring tear hope wish
+pray die dies rot suffer dead bleed deserve deserves yourself life without live sleep park kids children family walk breathe wake sorry hole cave jungle jump vermin animals apes rats pigs dogs
+parasites cockroaches maggots lice monkeys pest pests savages filth scum trash garbage subhuman subhumans plague disease cancer virus degenerates criminals thieves liars terrorists rapists inferior
+dirty filthy lazy stupid disgusting driven deported exterminated gassed shot locked wiped put castrated sterilised sterilized hanged burned burnt expelled caged drowned rounded whipped beaten kicked
+thrown belong rights crawled came country hate despise stand trust hire rid sick fuck fucking lick licking suck sucking undress undressing grope groping spank spanking fondle fondling bend breasts
+breast tits boobs nipple nipples thigh thighs pussy cock dick ass arse butt clit crotch body cunt panties bra knickers nude nudes naked clothes skirt blouse dress underwear shirt undressed topless
+bent knees bed moaning hard horny bullet knife blade axe fist boot gun brick cry cries cried ashamed regret regrets weeps embarrassed disappointed bitch whore worst dumbest stupidest dress breathe
+feed tie function sense spell legs naked lap desk short tight tongue steal stink smell breed cheat cages cage dead behind waiting maul fresse klappe schnauze dir dich euch te vous gueule sind gehören
+gehört partir matarte romperte ojalá cara piensa sirve vale bleed beg scream curse stain wet sucked licked stroked swallowed penis vagina erection balls disgrace embarrassment failure nobody joke
+waste excuse parasite likes wants loves needs miss dumb thick dim dense useless brain brains iq intelligence wit disgust crawl shut smile grin head pay sleep nature learn belongs vermine racaille
+déchets cafards ordures qu'on plaga ratas parásitos basura escoria cucarachas echarlos expulsarlos matarlos eliminarlos""".split())
+
+#: Each pattern's own of these words: those that begin as a word of it does. It is tried where a message has one.
+NEEDS = [frozenset(w for w in TRIGGER if w[:3] in {c[:3] for c in re.findall(r"[^\W\d_]{3,}", p.pattern)}) for _, p in PATTERNS]
 
 MILD = {"fat", "lying", "dumb", "sale", "goddamn", "useless", "miserable"}  # no insult alone
 SELF = {"i'm", "i", "am", "ich", "myself", "je", "suis", "soy", "me"}
@@ -247,9 +255,12 @@ def score(text: str, lexicon: Lexicon, memo: dict) -> tuple[float, str]:
         hits.append(got)
     n = len(toks)
     plain = [w if not h or w in h else min(h) if len(h) == 1 else w for w, h in zip(toks, hits, strict=True)]
-    if not TRIGGER.isdisjoint(plain):
+    cues = TRIGGER.intersection(plain)
+    if cues:
         flow = " ".join(plain)
-        for k, pattern in PATTERNS:
+        for (k, pattern), needs in zip(PATTERNS, NEEDS, strict=True):
+            if needs.isdisjoint(cues):
+                continue
             for m in pattern.finditer(flow):
                 near = flow[: m.start()].split()[-8:] + flow[m.end() :].split()[:9]
                 v = 0.4 if ABOUT & set(near) and not AIMED & set(m[0].split()) else 1.0
