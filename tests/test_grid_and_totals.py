@@ -40,6 +40,19 @@ def test_grid_edges(spark):
     assert regrid.regrid(wrong, days).where("close_status = 'observed' and close = -3").count() == 1
 
 
+def test_grid_is_never_broadcast(spark):
+    """The optimiser takes the grid for as small as its sources; one with as few as these was sent to the driver whole."""
+    rows = [(D0 + dt.timedelta(d), b, s, 10.0 + s, 5.0, "") for s in range(20) for d in (0, 29) for b in regrid.bar_starts()[:3]]
+    days = spark.createDataFrame([(D0 + dt.timedelta(d),) for d in range(30)], "date date")
+    g = regrid.regrid(spark.createDataFrame(rows, INTRA), days)
+    assert len(g.collect()) == 20 * 30 * 48
+    lines = g._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    sent = [i for i, x in enumerate(lines) if "BroadcastExchange" in x]
+    under = [x for i in sent for x in lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]]
+    assert sent and not [x for x in under if "Generate explode([34200000000" in x]
+
+
 def test_trailing_against_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(D0 + dt.timedelta(int(d)), int(s), float(rng.integers(1, 100)), float(rng.integers(1, 9))) for s in (1, 2) for d in sorted(rng.choice(120, 40, replace=False))]

@@ -8,7 +8,9 @@ regression's value plus the residual interpolated between the nearest observed c
 beyond the first and last).
 
 Scale. Readings are reduced to cells (source, date, period) before anything else; a source has one row per
-period of its calendar then, whatever its readings, which bounds every later window.
+period of its calendar then, whatever its readings, which bounds every later window. The sums are made of the
+observed cells alone, by days since a fixed date, and moved to each source's start when they are solved: the
+optimiser takes the grid for as small as the sources it is exploded from, so it is no side of a join that may be broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ BAR_US = 300_000_000
 SESSIONS = ((34_200_000_000, 41_400_000_000), (46_800_000_000, 54_000_000_000))  # 09:30-11:30, 13:00-15:00
 HARMONICS = 3
 TERMS = 2 + 2 * HARMONICS
+ORIGIN = "2000-01-01"
 
 
 def bar_starts(sessions: tuple = SESSIONS, bar_us: int = BAR_US) -> list[int]:
@@ -44,22 +47,27 @@ def bars(intraday: DataFrame, sessions: tuple = SESSIONS, bar_us: int = BAR_US)
     """(stable_id, date, bar_us, close, volume): the last finite close of a period and the sum of its finite
     volumes, rows repeated at one time counted once. Periods without a finite close have no row."""
     x = intraday.select("stable_id", "date", "time", finite(F.col("close")).alias("close"), finite(F.col("volume")).alias("volume")).where("stable_id is not null and date is not null")
-    x = x.withColumn("bar_us", bar_of(F.col("time"), sessions, bar_us)).where("bar_us is not null")
+    # one exchange for both groupings and the join to the grid
+    x = x.withColumn("bar_us", bar_of(F.col("time"), sessions, bar_us)).where("bar_us is not null").repartition("stable_id", "date", "bar_us")
     once = x.groupBy("stable_id", "date", "bar_us", "time").agg(F.max("close").alias("close"), F.max("volume").alias("volume"))
     # a close at or below zero stands only where its period has no other
     best = F.expr("max_by(close, struct(close > 0, time)) filter (where close is not null)")
     return once.groupBy("stable_id", "date", "bar_us").agg(best.alias("close"), F.sum("volume").alias("volume")).where("close is not null")
 
 
-def calendar(intraday: DataFrame, trading_days: DataFrame) -> DataFrame:
-    """(stable_id, date, first): the trading days from a source's first to its last date with any row."""
-    span = intraday.select("stable_id", "date").where("stable_id is not null and date is not null").groupBy("stable_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    days = span.select("stable_id", "first", F.explode(F.sequence("first", "last")).alias("date"))
-    return days.join(trading_days.select("date").where("date is not null").distinct(), "date", "left_semi").select("stable_id", "date", "first")
+def spans(intraday: DataFrame) -> DataFrame:
+    """(stable_id, first, last): a source's first and last date with any row."""
+    return intraday.select("stable_id", "date").where("stable_id is not null and date is not null").groupBy("stable_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def calendar(span: DataFrame, trading_days: DataFrame) -> DataFrame:
+    """(stable_id, date): the trading days from a source's first to its last date."""
+    days = span.select("stable_id", F.explode(F.sequence("first", "last")).alias("date"))
+    return days.join(trading_days.select("date").where("date is not null").distinct(), "date", "left_semi").select("stable_id", "date")
 
 
 def _features(first: Column, date: Column, bar: Column) -> list[Column]:
-    """1, years since the source's start, and the harmonics of the time of day."""
+    """1, years since the date `first`, and the harmonics of the time of day."""
     of_day = bar / F.lit(86_400_000_000.0)
     out = [F.lit(1.0), (F.datediff(date, first) + of_day) / 365.25]
     for k in range(1, HARMONICS + 1):
@@ -69,8 +77,10 @@ def _features(first: Column, date: Column, bar: Column) -> list[Column]:
 
 
 def normal_equations(cells: DataFrame) -> DataFrame:
-    """Per source the sums of x x', x y and n for y = log close and y = log1p volume, as flat arrays. cells:
-    stable_id, x0.., y_close, y_volume; a NULL y leaves its cell out of its own sums."""
+    """Per source the sums of x x', x y and n for y = log close and y = log1p volume, as flat arrays, the trend counted
+    from ORIGIN. cells: stable_id, date, bar_us, y_close, y_volume; a NULL y leaves its cell out of its own sums."""
+    terms = _features(F.lit(ORIGIN).cast("date"), F.col("date"), F.col("bar_us"))
+    cells = cells.select("stable_id", "y_close", "y_volume", *[t.alias(f"x{i}") for i, t in enumerate(terms)])
     x = [F.col(f"x{i}") for i in range(TERMS)]
     sums = []
     for y in ("y_close", "y_volume"):
@@ -82,18 +92,21 @@ def normal_equations(cells: DataFrame) -> DataFrame:
 
 
 def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Coefficients by ridge-guarded solves of all sources of a batch at once; fewer readings than terms give
-    the mean alone, none gives nulls."""
+    """Coefficients by ridge-guarded solves of all sources of a batch at once, the trend moved from ORIGIN to the source's
+    start (`years` after it); fewer readings than terms give the mean alone, none gives nulls."""
     upper = np.triu_indices(TERMS)
     for b in batches:
-        out = {"stable_id": b["stable_id"]}
+        out, years = {"stable_id": b["stable_id"], "first": b["first"]}, b["years"].to_numpy(float)[:, None]
         for y in ("y_close", "y_volume"):
-            n = b[f"n_{y}"].to_numpy()
-            fill = lambda c: np.nan_to_num(np.array([[np.nan if v is None else v for v in r] for r in b[c]], dtype=float).reshape(len(b), -1))
+            n = b[f"n_{y}"].fillna(0).to_numpy()
+            fill = lambda c, size: np.nan_to_num(np.array([[np.nan if v is None else v for v in (r if r is not None else [None] * size)] for r in b[c]], dtype=float).reshape(len(b), -1))
             m = np.zeros((len(b), TERMS, TERMS))
-            m[:, upper[0], upper[1]] = fill(f"xx_{y}")
+            m[:, upper[0], upper[1]] = fill(f"xx_{y}", len(upper[0]))
             m[:, upper[1], upper[0]] = m[:, upper[0], upper[1]]
-            r = fill(f"xy_{y}")
+            r = fill(f"xy_{y}", TERMS)
+            r[:, 1] -= years[:, 0] * r[:, 0]
+            m[:, 1, :] -= years * m[:, 0, :]
+            m[:, :, 1] -= years * m[:, :, 0]
             ridge = 1e-6 * np.maximum(n, 1)
             m += ridge[:, None, None] * np.eye(TERMS)
             few = n < 3 * TERMS
@@ -113,16 +126,19 @@ def regrid(intraday: DataFrame, trading_days: DataFrame, sessions: tuple = SESSI
     close is NULL). volume_status likewise; a period without a reading gets the estimated volume.
     Rows with null source or date count nowhere; rows with null time or outside the sessions extend the
     calendar only. Empty input gives no rows. Columns besides those named are ignored."""
-    grid = calendar(intraday, trading_days).withColumn("bar_us", F.explode(F.array(*[F.lit(t).cast("long") for t in bar_starts(sessions, bar_us)])))
-    cells = grid.join(bars(intraday, sessions, bar_us), ["stable_id", "date", "bar_us"], "left")
-    cells = cells.select(
-        "stable_id", "date", "bar_us", F.col("close").alias("seen"), F.col("volume").alias("seen_volume"),
-        F.when(F.col("close") > 0, F.log("close")).alias("y_close"), F.when(F.col("volume") >= 0, F.log1p("volume")).alias("y_volume"),
-        *[x.alias(f"x{i}") for i, x in enumerate(_features(F.col("first"), F.col("date"), F.col("bar_us")))],
+    span = spans(intraday)
+    grid = calendar(span, trading_days).withColumn("bar_us", F.explode(F.array(*[F.lit(t).cast("long") for t in bar_starts(sessions, bar_us)])))
+    seen = bars(intraday, sessions, bar_us)
+    y = [F.when(F.col("close") > 0, F.log("close")).alias("y_close"), F.when(F.col("volume") >= 0, F.log1p("volume")).alias("y_volume")]
+    fitted = seen.join(trading_days.select("date").where("date is not null").distinct(), "date", "left_semi").select("stable_id", "date", "bar_us", *y)
+    sums = span.select("stable_id", "first", (F.datediff("first", F.lit(ORIGIN).cast("date")) / 365.25).alias("years")).join(normal_equations(fitted.where("y_close is not null or y_volume is not null")), "stable_id", "left")
+    beta = sums.mapInPandas(solve, "stable_id long, first date, beta_y_close array<double>, beta_y_volume array<double>")
+    # a source's cells are bounded by its calendar
+    x = grid.join(seen, ["stable_id", "date", "bar_us"], "left").join(beta, "stable_id", "left")
+    x = x.select(
+        "stable_id", "date", "bar_us", F.col("close").alias("seen"), F.col("volume").alias("seen_volume"), *y, "beta_y_close", "beta_y_volume",
+        *[t.alias(f"x{i}") for i, t in enumerate(_features(F.col("first"), F.col("date"), F.col("bar_us")))],
     )
-    beta = normal_equations(cells.where("y_close is not null or y_volume is not null")).mapInPandas(solve, "stable_id long, beta_y_close array<double>, beta_y_volume array<double>")
-    # joined to sources, then to cells: a source's cells are bounded by its calendar
-    x = cells.join(beta, "stable_id", "left")
     at = F.datediff("date", F.lit("1970-01-01")) * 288.0 + F.col("bar_us") / 300_000_000.0
     fit = {y: sum((F.get(f"beta_{y}", F.lit(i)) * F.col(f"x{i}") for i in range(1, TERMS)), F.get(f"beta_{y}", F.lit(0)) * F.col("x0")) for y in ("y_close", "y_volume")}
     x = x.select("stable_id", "date", "bar_us", "seen", "seen_volume", "y_close", "y_volume", at.alias("at"), *[f.alias(f"fit_{y}") for y, f in fit.items()])
