@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -34,6 +36,36 @@ def test_gradients_match_differences():
             assert abs(v[k].grad[i] - want) < 1e-5, (k, i)
 
 
+def plain(x, net):
+    """Attention with all scores at once."""
+    n, dim = x.shape
+    h = net["heads"]
+    q, k, v = (N.apply(net[c], x).reshape(n, h, dim // h).transpose(1, 0, 2) for c in "qkv")
+    return N.apply(net["o"], (N.softmax(q @ k.transpose(0, 2, 1) / math.sqrt(dim // h)) @ v).transpose(1, 0, 2).reshape(n, dim))
+
+
+def test_attention_in_blocks_equals_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    net = N.factor_network({"daily": 3, "minute": 2}, hidden=4, heads=2, seed=3)
+    x = rng.normal(size=(11, 8)) * 3
+    for block in (1, 30, 1 << 20):  # one row, two rows and a rest, all
+        monkeypatch.setattr(N, "BLOCK", block)
+        assert np.allclose(N.attention(x, net), plain(x, net), rtol=1e-12, atol=1e-12)
+    assert N.attention(x[:0], net).shape == (0, 8)
+
+
+@pytest.mark.parametrize("widths", [{"daily": 3}])
+def test_memory_of_a_prediction_grows_with_the_names_only(widths):
+    """All scores of 3,000 names at once would be 144 MB."""
+    rng = np.random.default_rng(0)
+    inputs = {b: rng.normal(size=(3000, n)) for b, n in widths.items()}
+    tracemalloc.start()
+    N.forward(N.factor_network(widths), inputs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+
+
 def test_loss_of_too_few_names_is_zero_with_a_live_gradient():
     p = T.Value([1.0, 2.0, 3.0])
     out = T.loss(p, np.array([1.0, np.nan, 2.0]))

@@ -1,11 +1,13 @@
 """Learned operators over one date's cross-section: networks in NumPy, a ridge fit. Training and yearly refits are in `training`.
 
-A date's names are mixed by attention, so a date is one group (a few thousand names); dates are independent.
+A date's names are mixed by attention, so a date is one group; dates are independent. Each name attends to all names of its
+date, but BLOCK scores are held at once, so memory grows with the names and only time with their square.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from tidepath.operators.signature import gelu
 
 
+BLOCK = 1 << 20  # 8 MB
+
+
 def linear(rng: np.random.Generator, n_in: int, n_out: int) -> dict[str, np.ndarray]:
     return {"w": rng.normal(0, 1 / math.sqrt(n_in), (n_in, n_out)), "b": np.zeros(n_out)}
 
@@ -44,12 +49,34 @@ def factor_network(widths: dict[str, int], hidden: int = 16, heads: int = 2, see
     return {"branches": mixers, "heads": heads, **{k: linear(rng, dim, dim) for k in ("q", "k", "v", "o")}, "head": linear(rng, dim, 1)}
 
 
+def exp_scores(q: np.ndarray, k: np.ndarray, top: np.ndarray | None = None) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """(head, rows, exponentials, maxima) of the scaled scores of q and k (heads, names, width), some rows at a time: each row's
+    exponentials over all names, less its maximum (`top` where it is known). The array is good until the next one."""
+    rows = max(1, BLOCK // max(1, k.shape[1]))
+    for i in range(len(q)):
+        scaled, other = q[i] / math.sqrt(q.shape[2]), np.ascontiguousarray(k[i].T)
+        for a in range(0, q.shape[1], rows):
+            at = slice(a, a + rows)
+            e = scaled[at] @ other
+            m = e.max(-1, keepdims=True) if top is None else top[i, at]
+            e -= m
+            yield i, at, np.exp(e, out=e), m
+
+
+def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """softmax(q k' / sqrt(width)) v of (heads, names, width), with the maxima of the rows and the sums of their exponentials."""
+    out, top, total = np.empty_like(v), np.empty((*v.shape[:2], 1)), np.empty((*v.shape[:2], 1))
+    for i, at, e, m in exp_scores(q, k):
+        top[i, at], total[i, at] = m, e.sum(-1, keepdims=True)
+        out[i, at] = e @ v[i] / total[i, at]
+    return out, top, total
+
+
 def attention(x: np.ndarray, net: dict) -> np.ndarray:
     n, dim = x.shape
     h = net["heads"]
     q, k, v = (apply(net[c], x).reshape(n, h, dim // h).transpose(1, 0, 2) for c in "qkv")
-    a = softmax(q @ k.transpose(0, 2, 1) / math.sqrt(dim // h)) @ v
-    return apply(net["o"], a.transpose(1, 0, 2).reshape(n, dim))
+    return apply(net["o"], attend(q, k, v)[0].transpose(1, 0, 2).reshape(n, dim))
 
 
 def forward(net: dict, inputs: dict[str, np.ndarray]) -> np.ndarray:
