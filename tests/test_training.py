@@ -47,10 +47,15 @@ def plain(x, net):
 def test_attention_in_blocks_equals_the_whole(monkeypatch):
     rng = np.random.default_rng(2)
     net = N.factor_network({"daily": 3, "minute": 2}, hidden=4, heads=2, seed=3)
-    x = rng.normal(size=(11, 8)) * 3
+    x, inputs, label = rng.normal(size=(11, 8)) * 3, {"daily": rng.normal(size=(11, 3)), "minute": rng.normal(size=(11, 2))}, rng.normal(size=11)
+    w, grads = T.flatten(net), []
     for block in (1, 30, 1 << 20):  # one row, two rows and a rest, all
         monkeypatch.setattr(N, "BLOCK", block)
         assert np.allclose(N.attention(x, net), plain(x, net), rtol=1e-12, atol=1e-12)
+        v = {k: T.Value(a) for k, a in w.items()}
+        T.loss(T.forward(net, v, inputs), label).backward()
+        grads.append(v)
+    assert all(np.allclose(grads[0][k].grad, g[k].grad, rtol=1e-9, atol=1e-12) for g in grads[1:] for k in w)
     assert N.attention(x[:0], net).shape == (0, 8)
 
 
@@ -66,6 +71,17 @@ def test_memory_of_a_prediction_grows_with_the_names_only(widths):
     assert most < 60e6
 
 
+def test_memory_of_a_gradient_grows_with_the_names_only():
+    rng = np.random.default_rng(0)
+    net = N.factor_network({"daily": 1}, hidden=4)
+    tracemalloc.start()
+    w = {k: T.Value(x) for k, x in T.flatten(net).items()}
+    T.loss(T.forward(net, w, {"daily": rng.normal(size=(3000, 1))}), rng.normal(size=3000)).backward()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+
+
 def test_loss_of_too_few_names_is_zero_with_a_live_gradient():
     p = T.Value([1.0, 2.0, 3.0])
     out = T.loss(p, np.array([1.0, np.nan, 2.0]))
