@@ -59,7 +59,7 @@ def test_attention_in_blocks_equals_the_whole(monkeypatch):
     assert N.attention(x[:0], net).shape == (0, 8)
 
 
-@pytest.mark.parametrize("widths", [{"daily": 3}])
+@pytest.mark.parametrize("widths", [{"daily": 3}, {"daily": 3, "minute": 2}])
 def test_memory_of_a_prediction_grows_with_the_names_only(widths):
     """All scores of 3,000 names at once would be 144 MB."""
     rng = np.random.default_rng(0)
