@@ -9,7 +9,9 @@ from tidepath.operators import minute as M
 from tidepath.operators import panel as P
 from tidepath.operators import research as R
 from tidepath.operators import signature as S
+from tidepath.plans import reference as Q
 from tidepath.sources import periods
+from tidepath.sources.tables import spread
 
 D0 = dt.date(2021, 1, 4)
 GRID = [34_200_000_000 + 300_000_000 * i for i in range(6)]
@@ -129,3 +131,20 @@ def test_codes_outside_the_levels_and_labels_alone(spark):
     p = spark.createDataFrame([(D0 + dt.timedelta(i), s, float(s + i * s)) for i in range(3) for s in (1, 2, 3)], "date date, stable_id long, close double")
     with pytest.warns(UserWarning, match="not neutralised"):
         assert X.labels(p, P.calendar(p), 1).count() == 6
+
+
+def test_two_branches_make_the_wanted_dates_only_and_nothing_twice(spark, data):
+    """Work before the last join: features of the dates named equal those of all dates, and what a shuffle gave is not run to count its partitions."""
+    every = Q._features(spark, data, 2)
+    last = [r.date for r in every.select("date").distinct().orderBy("date").collect()][-3:]
+    dates = spark.createDataFrame([(d,) for d in last], "date date")
+    key = lambda rows: sorted((r.date, r.stable_id, tuple(r.feature or ())) for r in rows)
+    assert key(Q._features(spark, data, 2, dates).collect()) == key(every.join(dates, "date").collect())
+    shuffled, sc = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), spark.sparkContext
+    sc.setJobGroup("spread", "spread")
+    try:
+        x = spread(shuffled)
+        assert not sc.statusTracker().getJobIdsForGroup("spread")
+    finally:
+        sc._jsc.clearJobGroup()
+    assert x.count() == 7

@@ -32,10 +32,12 @@ def day_slice(bars: DataFrame, day: str, grid: list[int], fields: tuple[str, ...
 
 def filled_bars(bars: DataFrame, cal: DataFrame, grid: list[int]) -> DataFrame:
     """(stable_id, date, date_idx, bar_us, close, volume): on each date with bars of a source, every bar of the grid, the close
-    carried forward and a missing volume 0. bars: unique (stable_id, date, bar_us) with close and volume."""
-    days = bars.select("stable_id", "date").distinct().join(cal, "date")
-    x = days.select("*", F.explode(F.array(*[F.lit(int(g)).cast("long") for g in grid])).alias("bar_us"))
-    x = x.join(bars.select("stable_id", "date", "bar_us", F.when(F.col("close") > 0, F.col("close")).alias("close"), "volume"), ["stable_id", "date", "bar_us"], "left")
+    carried forward and a missing volume 0. bars: unique (stable_id, date, bar_us) with close and volume. A day's bars are
+    packed to one row and laid on the grid there, so bars that come partitioned by source are not shuffled again."""
+    at = F.map_from_entries(F.collect_list(F.struct("bar_us", F.struct(F.when(F.col("close") > 0, F.col("close")).alias("close"), "volume"))))
+    days = bars.groupBy("stable_id", "date").agg(at.alias("at")).join(F.broadcast(cal), "date")  # a row per date
+    x = days.select("stable_id", "date", "date_idx", "at", F.explode(F.array(*[F.lit(int(g)).cast("long") for g in grid])).alias("bar_us"))
+    x = x.withColumn("b", F.try_element_at("at", F.col("bar_us"))).select("stable_id", "date", "date_idx", "bar_us", F.col("b.close").alias("close"), F.col("b.volume").alias("volume"))
     past = Window.partitionBy("stable_id").orderBy("date", "bar_us").rowsBetween(Window.unboundedPreceding, 0)
     return x.select("stable_id", "date", "date_idx", "bar_us", F.last("close", True).over(past).alias("close"), F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0)).alias("volume")).where("close is not null")
 

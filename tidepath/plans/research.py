@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepath.functions.cols import finite
 from tidepath.operators import factor as X
 from tidepath.operators import minute as M
 from tidepath.operators import network as N
@@ -123,7 +124,8 @@ _GRID = "grid AS (SELECT 34200000000 + 300000000 * i AS bar_us, i AS bar FROM ra
 
 
 def _bars(spark, d):
-    return P.bars(read(spark, d, "intraday", ("date", "time", "stable_id", *P.FIELDS)), bar_of(F.col("time")))
+    """By source, so that one shuffle serves the sums over times and bars and the fills along a source."""
+    return P.bars(read(spark, d, "intraday", ("date", "time", "stable_id", *P.FIELDS)).repartition("stable_id"), bar_of(F.col("time")))
 
 
 @query(f"WITH {_BARS}, {_GRID}, last_day AS (SELECT max(date) AS date FROM bb), ids AS (SELECT DISTINCT stable_id FROM bb WHERE date = (SELECT date FROM last_day)) SELECT i.stable_id, g.bar_us::BIGINT AS bar_us, round(close, 4) AS close, round(volume, 4) AS volume FROM ids i CROSS JOIN grid g LEFT JOIN bb ON bb.stable_id = i.stable_id AND bb.bar_us = g.bar_us AND bb.date = (SELECT date FROM last_day)")
@@ -136,7 +138,9 @@ def intraday_day_slice(spark, d):
 
 # --- minute branch
 def _minute_calendar(spark, d):
-    return P.calendar(_bars(spark, d))
+    """The dates that have bars, without making the bars: one usable reading is enough."""
+    x = read(spark, d, "intraday", ("date", "time", "stable_id", "close"))
+    return P.calendar(x.where(F.col("stable_id").isNotNull() & finite(F.col("close")).isNotNull() & bar_of(F.col("time")).isNotNull()))
 
 
 _PTS = f"{_BARS}, {_GRID}, mcal AS (SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS date_idx FROM (SELECT DISTINCT date FROM bb)), dd AS (SELECT DISTINCT stable_id, date FROM bb), cells AS (SELECT dd.stable_id, dd.date, g.bar_us, g.bar FROM dd CROSS JOIN grid g), fl AS (SELECT c.stable_id, c.date, c.bar, c.bar_us, last_value(CASE WHEN bb.close > 0 THEN bb.close END IGNORE NULLS) OVER (PARTITION BY c.stable_id ORDER BY c.date, c.bar_us ROWS UNBOUNDED PRECEDING) AS close FROM cells c LEFT JOIN bb ON bb.stable_id = c.stable_id AND bb.date = c.date AND bb.bar_us = c.bar_us), pts AS (SELECT stable_id, fl.date, date_idx, bar_us, (date_idx * 48 + bar) / 100.0::DOUBLE AS x0, ln(close) * 10 AS x1 FROM fl JOIN mcal ON fl.date = mcal.date WHERE close IS NOT NULL), days AS (SELECT stable_id, date, date_idx, count(*) OVER (PARTITION BY stable_id ORDER BY date_idx RANGE BETWEEN {DAYS - 1} PRECEDING AND CURRENT ROW) AS n FROM (SELECT DISTINCT stable_id, date, date_idx FROM pts))"
@@ -175,7 +179,8 @@ def minute_features_d5(spark, d):
 @query()
 def two_branch_factor(spark, d):
     """The seeded network on both branches, names valid in both."""
-    daily = Q._features(spark, d, 2).withColumnRenamed("feature", "daily")
+    # the minute branch covers few of the daily dates
+    daily = Q._features(spark, d, 2, _minute_calendar(spark, d).select("date")).withColumnRenamed("feature", "daily")
     both = daily.join(_minute_features(spark, d, 3).withColumnRenamed("feature", "minute"), ["date", "stable_id"])
     widths = {"daily": S.feature_count(5, Q.K, 2, Q._PAIRS), "minute": S.width(M.CHANNELS, 3)}
     return Q.out(N.predict(both, N.factor_network(widths), {"daily": "daily", "minute": "minute"}))

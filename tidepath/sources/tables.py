@@ -52,6 +52,9 @@ def written(rows: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as there are cores, for costly work row by row: a few small files
-    would keep the rest idle. Inputs of many files or splits are left where they are."""
+    would keep the rest idle. Inputs of many files or splits are left where they are, and so is what comes out of a shuffle, which
+    has its own partitions and would be run a second time to count them."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = int(df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(2 * n)
