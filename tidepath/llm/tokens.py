@@ -5,7 +5,8 @@ word is folded: its state is a string with one character per piece, at first one
 the neighbouring pair of lowest rank, wherever it stands, by the character of the joined piece. Replacing is one
 native call, so a step costs one look-up for each pair left and little else.
 
-Tables are literals of two slots a key (cuckoo hashing on the 64-bit hash): a look-up is at most two comparisons.
+Tables are literals of two slots a key (cuckoo hashing on the 64-bit hash): a look-up is at most two comparisons
+and, for most keys that are not there, none: their first slot is empty.
 Functions that scan (`array_position`, look-ups in maps, slices) are avoided on purpose: inside a higher-order function
 each costs as much as ten such look-ups.
 """
@@ -101,11 +102,12 @@ def let(value: Column, body) -> Column:
 
 
 def rank_of(keys: Column, values: Column, slots: int, s: Column) -> Column:
-    """Value of a key in a table of two slots a key, NULL if it has none."""
+    """Value of a key in a table of two slots a key, NULL if it has none. A key leaves its first slot only to another key, so
+    one whose first slot is empty is not in the table."""
 
     def look(h: Column) -> Column:
         one, two = h.bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1))
-        return F.when(F.get(keys, one) == s, F.get(values, one)).when(F.get(keys, two) == s, F.get(values, two))
+        return F.when(F.get(keys, one) == s, F.get(values, one)).when(F.get(keys, one).isNotNull(), F.when(F.get(keys, two) == s, F.get(values, two)))
 
     return let(F.xxhash64(s), look)
 
