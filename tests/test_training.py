@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import math
 import tracemalloc
 
@@ -8,6 +9,7 @@ import pytest
 from tidepath.operators import network as N
 from tidepath.operators import panel as P
 from tidepath.operators import training as T
+from tidepath.plans import research
 
 COLUMNS = {"daily": "a", "minute": "b"}
 
@@ -124,6 +126,43 @@ def test_early_stop_keeps_the_best_and_no_validation_is_minus_infinity(spark):
     assert T.fit(x.where("false"), COLUMNS).history[0][1] == 0.0
 
 
+def test_the_registered_refits_are_whole(spark, data, monkeypatch):
+    """The source's hundred epochs, patience, width and heads, and every year that has train dates before it."""
+    rolling, got = inspect.signature(T.rolling), []
+
+    def untrained(*args, **more):
+        b = rolling.bind(*args, **more)
+        b.apply_defaults()
+        got.append(b.arguments)
+        return b.arguments["rows"].selectExpr("date", "stable_id", "0D as factor"), {}
+
+    monkeypatch.setattr(T, "rolling", untrained)
+    research.rolling_network_factor(spark, data)
+    a = got[0]
+    assert (a["plan"].epochs, a["plan"].patience, a["plan"].hidden, a["plan"].heads) == (100, 30, 128, 4)
+    assert (a["lookback"], a["validation"]) == (4, 1) and set(a["years"]) >= {1997, 1998, 1999, 2000, 2001}
+    assert len(a["rows"].select("date").distinct().collect()) > 80
+
+
+def test_fits_side_by_side_equal_fits_alone(spark):
+    x = rows(spark, (2017, 2018, 2019), 3, 9)
+    months = sorted(r.date for r in x.select("date").distinct().collect())
+    uses = {1: {d: "val" if d.year == 2018 else "train" for d in months if d.year < 2019}, 2: {d: "val" if d.year == 2019 else "train" for d in months}}
+    plan = T.Plan(epochs=6, patience=2, rate=0.3, hidden=8)
+    both = T.fit_all(x, COLUMNS, uses, plan)
+    for k, parts in uses.items():
+        alone = T.fit_all(x, COLUMNS, {k: parts}, plan)[k]
+        assert len(alone.history) == len(both[k].history)
+        assert np.allclose(alone.history, both[k].history, rtol=1e-12)
+        a, b = T.flatten(alone.net), T.flatten(both[k].net)  # other dates share the tasks, which alters no digit
+        assert all((a[n] == b[n]).all() for n in a) and [h[2:] for h in alone.history] == [h[2:] for h in both[k].history]
+
+
+def test_erf_of_arrays():
+    x = np.concatenate([np.linspace(-7, 7, 2001), [0.0, 0.46875, -0.46875, np.inf, -np.inf]])
+    assert np.abs(T.erf(x) - [math.erf(v) for v in x]).max() < 1e-15 and np.isnan(T.erf(np.array([np.nan])))[0]
+
+
 def test_rolling_ridge_is_out_of_sample(spark):
     x = rows(spark, (2018, 2019, 2020))
     cal = P.calendar(x)
